@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pixelloom.llm import oracles
 from pixelloom.llm.bpe import bpe_digests
+from pixelloom.llm.line_dedup import line_dedup
+from pixelloom.llm.mixing import mix_report
+from pixelloom.llm.near_dedup import near_classes
+from pixelloom.llm.quality_rules import quality_report
 from pixelloom.llm.support import documents
+from pixelloom.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,7 +24,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), TOKENIZER).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(documents(spark, sf_dir))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op5_mixing": op5_mixing,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP}
