@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import oracles
 from pixelloom.llm.bpe import bpe_digests
+from pixelloom.llm.html_extraction import html_extraction
+from pixelloom.llm.language_id import language_scores
 from pixelloom.llm.line_dedup import line_dedup
 from pixelloom.llm.mixing import mix_report
 from pixelloom.llm.near_dedup import near_classes
+from pixelloom.llm.quality_classifier import quality_scores
 from pixelloom.llm.quality_rules import quality_report
 from pixelloom.llm.support import documents
+from pixelloom.llm.toxicity import toxicity_scores
 from pixelloom.session import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,14 +32,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -43,8 +63,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_near_dedup": op8_near_dedup,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP}
