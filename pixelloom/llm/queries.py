@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import oracles
 from pixelloom.llm.bpe import bpe_digests
+from pixelloom.llm.fingerprints import fingerprint_report
 from pixelloom.llm.html_extraction import html_extraction
 from pixelloom.llm.language_id import language_scores
 from pixelloom.llm.line_dedup import line_dedup
@@ -44,6 +45,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(documents(spark, sf_dir))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_near_dedup": op8_near_dedup,
     "op9_language_id": op9_language_id,
