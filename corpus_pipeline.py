@@ -25,9 +25,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A text that has lost lines gets its new length; one that has lost all of them is gone."""
-    out = line_dedup(docs).where("n_dropped = 0 or text <> ''")
-    return out.selectExpr("doc_id", "text", "lang", "source", "case when n_dropped > 0 then cast(char_length(text) as bigint) else n_chars end as n_chars")
+    """Every document stays; a text that has lost lines gets its new length."""
+    n_chars = "case when n_dropped > 0 then cast(char_length(text) as bigint) else n_chars end as n_chars"
+    return line_dedup(docs).selectExpr("doc_id", "text", "lang", "source", n_chars)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
