@@ -1,13 +1,8 @@
-"""Queries of the raster operators and their SQL twins."""
+"""All queries of the raster operators and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pixelloom.plans import pixels  # noqa: F401
+from pixelloom.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pixelloom.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
