@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.support import ASCII_LOWER, ASCII_UPPER, SPACE_CHARS, fresh
+from pixelloom.session import cut
 
 MIN_KEY_CHARS, MIN_DOCUMENTS = 1, 10
 
@@ -41,22 +42,16 @@ def _row_key(df: DataFrame, text: str) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id, F.lit("-")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
 
 
-def common_hashes(df: DataFrame, text: str, min_chars: int, min_documents: int) -> DataFrame:
-    of_row = df.select(F.explode(F.array_compact(F.array_distinct(_hashes(F.col(text), min_chars)))).alias("hash"))
-    return of_row.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("hash")
-
-
 def line_dedup(df: DataFrame, text: str = "text", min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """Replaces each text by its kept lines and adds ``n_lines`` and ``n_dropped``."""
     df = df.drop("n_lines", "n_dropped")
     key, lost, lines = fresh(df, "row_key", "lost", "lines")
-    keyed = df.select("doc_id", text) if "doc_id" in df.columns else df.select(text)
-    at = keyed.select(_row_key(keyed, text).alias(key), F.posexplode(_hashes(F.col(text), min_chars)).alias("pos", "hash")).where("hash is not null")
-    positions = (
-        at.join(common_hashes(df, text, min_chars, min_documents), "hash", "left_semi")
-        .groupBy(key)
-        .agg(F.collect_set("pos").alias(lost))
-    )
+    # Hashes are made once and checkpointed, 16 bytes a line, for both the count and the positions.
+    hashed = cut(df.select(_row_key(df, text).alias(key), _hashes(F.col(text), min_chars).alias("hashes")))
+    once = hashed.select(F.explode(F.array_compact(F.array_distinct("hashes"))).alias("hash"))
+    common = once.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("hash")
+    at = hashed.select(key, F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
+    positions = at.join(common, "hash", "left_semi").groupBy(key).agg(F.collect_set("pos").alias(lost))
     out = df.withColumn(key, _row_key(df, text)).join(positions, key, "left")
     out = out.withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     kept = F.when(F.col(lost).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
