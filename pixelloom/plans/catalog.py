@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.plans import pixels, statistics, windows  # noqa: F401
+from pixelloom.plans import pixels, resampling, statistics, windows  # noqa: F401
 from pixelloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
