@@ -50,7 +50,7 @@ def scored(docs: DataFrame, held_out: Column, scorer: Callable[[], Callable[[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in bounded_batches(batches, "text", 2 << 20):
+        for batch in bounded_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *score(batch.column("text"))], names=names)
 
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")

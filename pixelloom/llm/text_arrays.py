@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def bounded_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slice batches so that the texts of a slice hold about ``limit`` bytes; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
