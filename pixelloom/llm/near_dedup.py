@@ -10,11 +10,12 @@
    to their weighted Jaccard similarity. The variates come from a table indexed by a hash for each sample.
 3. Banding: ``ROWS`` samples make a key, ``BANDS`` keys a text. Texts of equal key share a bucket.
 4. In each bucket the most central texts lead, those whose buckets hold the most texts and, of these,
-   whose shingles are the most frequent (one of each of ``LEADERS`` hash classes), and all others are compared with them by exact weighted Jaccard similarity. Where some are unlike their leader, the
-   bucket's texts are dealt into finer buckets by the key of one more band; there those that are still
-   unlike are compared with the next central text, and so on until no bucket has two texts or all bands
-   are used. The original of a group of edited copies is in the largest bucket of every band, so it leads
-   wherever it is. A bucket of n texts costs n x LEADERS comparisons a round, never n squared.
+   whose shingles are the most frequent (one of each of ``LEADERS`` hash classes), and the others are
+   compared with them by exact weighted Jaccard similarity. The original of a group of edited copies is in
+   the largest bucket of every band, so it leads wherever it is. Texts that are like none of their leaders
+   are compared again in finer buckets, of the keys of one more band each round, with texts that haven't
+   led, until no comparison is left or all bands are used. A bucket of n texts costs n x LEADERS comparisons
+   a round, never n squared.
 5. Similar pairs are links; classes are the connected components of links and equal texts, found by
    passing on the least label along links, with checkpoints.
 
@@ -143,7 +144,7 @@ def _buckets(docs: DataFrame, text: str, levels, width: int, rows: int, bands: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _sampler(rows * bands)
         table = levels.value
-        for batch in bounded_batches(batches, text, 2 << 20):
+        for batch in bounded_batches(batches, text):
             doc, element, count = document_shingles(batch.column(text), width)
             if not len(doc):
                 continue
@@ -159,10 +160,11 @@ def _buckets(docs: DataFrame, text: str, levels, width: int, rows: int, bands: i
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> DataFrame:
-    """(a, b, similarity) of all pairs of nodes, by exact weighted Jaccard similarity."""
+    """Adds the exact weighted Jaccard similarity to pairs (a, b, a_led, b_led) of nodes."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_led", "b_led", "text_a", "text_b")
+    names = ["a", "b", "a_led", "b_led"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -188,9 +190,9 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
                 memory |= own
                 while len(memory) > 64:
                     memory.popitem(last=False)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found, pa.float64())], names=[*names, "similarity"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, "a long, b long, a_led boolean, b_led boolean, similarity double")
 
 
 def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -198,48 +200,41 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
     spark = docs.sparkSession
     small_batches(spark)
     levels = spark.sparkContext.broadcast(frequency_levels(docs, text, width))
-    keyed = stored(_buckets(docs, text, levels, width, rows, bands), "signatures")
-    members = keyed.select("node", "common", F.posexplode("keys").alias("band", "bucket")).distinct()
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(shared, "bucket"))
-    central = members.groupBy("node").agg(F.struct(F.sum("n").alias("n"), F.max("common").alias("common")).alias("central"))
+    nodes = stored(_buckets(docs, text, levels, width, rows, bands).dropDuplicates(["node"]), "signatures")
+    shared = nodes.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    central = nodes.select("node", F.explode("keys").alias("bucket")).join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("central"))
+    state = cut(nodes.join(central, "node").select("node", "keys", "central", "common", F.lit(True).alias("open"), F.lit(False).alias("led")))
     # Of equal texts, one row is fetched.
     ids = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("first"))
-    wanted = central.join(ids, "node").select(F.col("node").alias("w"), "first")
+    wanted = state.select("node").join(ids, "node").select(F.col("node").alias("w"), "first")
     texts = docs.select(_node(text).alias("node"), "doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = stored(
         texts.join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("node", "text").dropDuplicates(["node"]),
         "texts",
     )
-    keys = cut(keyed.join(central, "node", "left_semi").select(F.col("node").alias("k"), "keys").dropDuplicates(["k"])) if bands > 1 else None
-    group = cut(members.join(central, "node").select("bucket", "band", "node", "central", F.lit(True).alias("open"), F.lit(False).alias("led")))
     tested = None
-    for step in range(1, bands + 1):
-        lead = group.where("not led").groupBy("bucket", F.pmod("node", F.lit(LEADERS)).alias("c")).agg(F.max(F.struct("central", "node")).alias("top"))
-        lead = cut(lead.select(F.col("bucket").alias("lb"), F.col("top.node").alias("leader")))
-        compared = group.where("open").join(lead, F.col("bucket") == F.col("lb")).where("node <> leader").select("bucket", "node", "leader")
-        ends = compared.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    for step in range(bands):
+        finer = [F.xxhash64(F.lit(b), *(F.get("keys", F.lit((b + i) % bands)) for i in range(step + 1))) for b in range(bands)]
+        members = state.select("node", "central", "common", "open", "led", F.explode(F.array(*finer)).alias("bucket"))
+        top = F.struct((~F.col("led")).alias("fresh"), "central", "common", "node")
+        of_class = [F.max(F.when(F.pmod("node", F.lit(LEADERS)) == c, top))["node"].alias(f"l{c}") for c in range(LEADERS)]
+        lead = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), *of_class).where("n > 1 and any_open")
+        lead = lead.select("bucket", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders"))
+        compared = members.where("open").select("node", "bucket").join(lead, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+        low = F.least("node", "leader")
+        pairs = compared.groupBy(low.alias("a"), F.greatest("node", "leader").alias("b")).agg(F.max(F.col("leader") == low).alias("a_led"), F.max(F.col("leader") != low).alias("b_led"))
         if tested is not None:
-            ends = ends.join(tested, ["a", "b"], "left_anti")
-        results = stored(_similarities(ends, texts, levels, width), "similarities")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        results = stored(_similarities(pairs, texts, levels, width), "similarities")
         tested = results if tested is None else tested.unionByName(results)
-        if step == bands:
-            break
-        alike = tested.where(F.col("similarity") >= similarity).select("a", "b", F.lit(True).alias("alike"))
-        alike = compared.join(alike, (F.least("node", "leader") == F.col("a")) & (F.greatest("node", "leader") == F.col("b")), "left_semi")
-        alike = alike.select(F.col("bucket").alias("ab"), F.col("node").alias("an")).distinct().withColumn("alike", F.lit(True))
-        judged = group.join(alike, (F.col("bucket") == F.col("ab")) & (F.col("node") == F.col("an")), "left")
-        judged = judged.join(lead.withColumn("leads", F.lit(True)), (F.col("bucket") == F.col("lb")) & (F.col("node") == F.col("leader")), "left")
-        judged = judged.withColumns({"open": F.col("open") & F.col("alike").isNull(), "led": F.col("led") | F.col("leads").isNotNull()}).select("bucket", "band", "node", "central", "open", "led")
-        # The next band's key makes the finer bucket; only those with an open text and one more matter.
-        finer = F.xxhash64("bucket", F.element_at("keys", ((F.col("band") + step) % bands + 1).cast("int")))
-        finer = judged.join(keys, F.col("node") == F.col("k")).select(finer.alias("bucket"), "band", "node", "central", "open", "led")
-        finer = cut(finer)
-        alive = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), F.min("led").alias("all_led"))
-        group = cut(finer.join(alive.where("n > 1 and any_open and not all_led").select("bucket"), "bucket", "left_semi"))
-        if group.isEmpty():
+        if step == bands - 1 or results.isEmpty():
             break
-    return tested.where(F.col("similarity") >= similarity)
+        alike = F.col("similarity") >= similarity
+        marks = results.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("a_led").alias("did"), alike.alias("linked")), F.struct(F.col("b").alias("k"), F.col("b_led").alias("did"), alike.alias("linked")))).alias("m"))
+        marks = marks.groupBy("m.k").agg(F.max("m.did").alias("did"), F.max("m.linked").alias("linked"))
+        state = state.join(marks, F.col("node") == F.col("k"), "left")
+        state = cut(state.select("node", "keys", "central", "common", (F.col("open") & ~F.coalesce("linked", F.lit(False))).alias("open"), (F.col("led") | F.coalesce("did", F.lit(False))).alias("led")))
+    return tested.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
