@@ -49,10 +49,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
             "open": F.sum("weight").over(by_level.rowsBetween(0, W.unboundedFollowing)),
         }
     )
-    # With all sources that fill up earlier at their caps, this is the level; the least over all sources is the true one.
+    # With all sources that fill up earlier at their caps, this is the level. Where a source isn't filled by it, too many
+    # may be taken for filled, which lowers it: the greatest of these is the true one.
     level = F.col("level")
     filled = filled.withColumn("own_level", (F.col("budget") - F.col("capped")) / F.col("open"))
-    filled = filled.withColumn("level", F.min(F.when(F.col("own_level") <= F.col("fills_at"), F.col("own_level"))).over(everything))
+    filled = filled.withColumn("level", F.max(F.when(F.col("own_level") <= F.col("fills_at"), F.col("own_level"))).over(everything))
     target = F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * level))
     return filled.select("source", "source_size", target.alias("target"))
 

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pixelloom.llm.mixing import fit_budget, mix_report, mixed
+from pixelloom.llm.mixing import fit_budget, mix_report, mixed, targets
 
 
 def brute_targets(sizes):
@@ -74,6 +74,16 @@ def test_against_brute_force(spark):
     assert +Counter({k: v for k, v in per_doc.items() if k[1]}) == +want_rows
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(7)
+    for n in (1, 2, 5, 20, 61):
+        sizes = {f"s{i}": rng.choice([0, 1, 10, 100, 1000, 5000]) + i for i in range(n)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in targets(df).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_report(df).collect() == [] and mixed(df).collect() == []
