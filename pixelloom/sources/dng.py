@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelloom.session import ship
+
 # TIFF type widths, tags, and CFA codes.
 TYPE_SIZE = {1: 1, 3: 2, 4: 4, 5: 8, 9: 4, 10: 8, 12: 8}
 FORMATS = {1: "B", 3: "H", 4: "I", 9: "i", 12: "d"}
@@ -148,6 +150,7 @@ def raw_headers(files: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([_parsed(p, c)[0] for p, c in zip(batch["path"], batch["content"])], columns=columns).astype(object).where(lambda d: d.notna(), None)
 
+    ship(files.sparkSession)
     return files.mapInPandas(run, HEADER)
 
 
@@ -163,6 +166,7 @@ def raw_mosaics(files: DataFrame) -> DataFrame:
                         part = mosaic[y0 : y0 + 256].astype(np.int32)
                         yield pd.DataFrame({"path": p, "cfa": header["cfa"], "y": np.arange(y0, y0 + len(part)), "raw": list(part)})
 
+    ship(files.sparkSession)
     return files.mapInPandas(run, "path string, cfa int, y long, raw array<int>")
 
 

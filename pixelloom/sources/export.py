@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions import color as C
+from pixelloom.session import ship
 
 # Names shown for transfer functions and primaries.
 TRANSFER_NAMES = {1: "709", 8: "Linear", 13: "sRGB", 16: "PQ", 17: "DCI", 18: "HLG", 65535: "Gamma"}
@@ -43,6 +44,7 @@ def png_images(df: DataFrame, by: str, level: int = 4) -> DataFrame:
         rgb[pixels["y"], pixels["x"]] = pixels[["r8", "g8", "b8"]].to_numpy(np.uint8)
         return pd.DataFrame({by: [pixels[by].iloc[0]], "png": [encode_png(rgb, level)]})
 
+    ship(df.sparkSession)
     return df.select(by, "y", "x", "r8", "g8", "b8").groupBy(by).applyInPandas(run, f"{by} {kind}, png binary")
 
 

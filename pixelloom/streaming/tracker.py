@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pixelloom.session import ship
+
 PROCESS, START_POSITION, START_VELOCITY = 25.0, 25.0, 100.0
 MEASUREMENT, LEAST_SCORE, GATE, MOST_MISSES = 36.0, 0.25, 0.04, 8
 OUTPUT = "track_id string, frame long, locked boolean, missed int, x array<double>, y array<double>"
@@ -83,6 +85,7 @@ def track_corners(measurements: DataFrame, long_edge: float = 1000.0) -> DataFra
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return _frames(CornerTrack(long_edge), rows)
 
+    ship(measurements.sparkSession)
     return measurements.groupBy("track_id").applyInPandas(run, OUTPUT)
 
 
@@ -100,6 +103,7 @@ def track_corners_stream(measurements: DataFrame, long_edge: float = 1000.0) ->
         state.update((track.p[:, 0].tolist(), track.p[:, 1].tolist(), track.v[:, 0].tolist(), track.v[:, 1].tolist(), track.cov.tolist(), track.locked, track.missed))
         yield out
 
+    ship(measurements.sparkSession)
     return measurements.groupBy("track_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
