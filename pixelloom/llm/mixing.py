@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pixelloom.llm.support import fresh, word_count
-from pixelloom.session import cut
+from pixelloom.session import cut, ship
 
 WEIGHTS, SHARE, MOST_PASSES, SEED, SALTS = (3, 1, 2), 1.5, 2, 11, 64
 #: The dynamic programme covers a remaining budget of so many words at most; what is above is filled greedily.
@@ -114,6 +114,7 @@ def _quotas(histogram: DataFrame, programme: int) -> DataFrame:
             extra[some] = fit_budget(lengths[some], counts[some], min(size, max(0, round(target - passes * size))), programme)
         return pd.DataFrame({"source": group["source"], "size": lengths, "passes": passes, "extra": extra})
 
+    ship(histogram.sparkSession)
     return histogram.groupBy("source").applyInPandas(one, "source string, size long, passes long, extra long")
 
 

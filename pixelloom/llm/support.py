@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.session import table
+from pixelloom.session import ship, table
 
 #: White space of the word rule, for a character class and as the characters themselves.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -18,7 +18,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that very long texts don't fill a Python worker."""
+    """For Python in tasks: the package at hand, and Arrow batches so small that very long texts don't fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
