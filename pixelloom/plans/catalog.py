@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pixelloom.plans import geometry, pixels, resampling, shapes, statistics, tracks, windows  # noqa: F401
+from pixelloom.plans import documents, geometry, pixels, resampling, shapes, statistics, tracks, windows  # noqa: F401
 from pixelloom.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
