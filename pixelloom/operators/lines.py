@@ -64,3 +64,34 @@ def line_quads(horizontal: DataFrame, vertical: DataFrame, by: list[str], width:
     met = met.withColumn("q", once(G.order_corners(F.col("q"))))
     points = G.quad_points(F.col("q"))
     return met.where(G.distinct_corners(points) & G.geometry_ok(points, F.lit(width), F.lit(height))).select(*by, F.col("h.a.id").alias("h1"), F.col("h.b.id").alias("h2"), F.col("v.a.id").alias("v1"), F.col("v.b.id").alias("v2"), "q")
+
+
+def merged(lines: DataFrame, by: list[str], most: int = 200, degrees: int = 5, apart: float = 6.0) -> DataFrame:
+    """Lines in order of votes without those near one already accepted: a fold over the first ``most`` of each group.
+
+    (theta, rho) and (theta + 180, -rho) are the same line."""
+    first = strongest(lines, by, most)
+    listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", "theta", "rho", "votes"))).alias("l"))
+    near = lambda a, b: F.when(F.abs(a["theta"] - b["theta"]) <= degrees, F.abs(a["rho"] - b["rho"]) <= apart).when(F.abs(a["theta"] - b["theta"]) >= 180 - degrees, F.abs(a["rho"] + b["rho"]) <= apart).otherwise(False)
+    fold = F.aggregate("l", F.slice("l", F.lit(1), F.lit(1)), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return listed.select(*by, F.explode(fold).alias("x")).select(*by, "x.theta", "x.rho", "x.votes")
+
+
+def refined(lines: DataFrame, edges: DataFrame, by: list[str], reach: float = 1.5, least: int = 12) -> DataFrame:
+    """Adds the mean distance of each line's inliers as ``rho_fit``; the line's own where they are few."""
+    c, s = _trig(F.col("theta"))
+    away = F.col("x") * c + F.col("y") * s
+    met = lines.join(edges.select(*by, "y", "x"), by).where(F.abs(away - F.col("rho")) <= reach)
+    means = met.groupBy(*by, "theta", "rho").agg(F.avg(away).alias("m"), F.count(F.lit(1)).alias("n"))
+    return lines.join(means, [*by, "theta", "rho"], "left").withColumn("rho_fit", F.when(F.col("n") >= least, F.col("m")).otherwise(F.col("rho").cast("double"))).drop("m", "n")
+
+
+def spaced(chain: Column, least: float) -> Column:
+    """A chain of points without those nearer than ``least`` to the last one kept: a fold in order."""
+
+    def step(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        far = (p["x"] - last["x"]) * (p["x"] - last["x"]) + (p["y"] - last["y"]) * (p["y"] - last["y"]) >= least * least
+        return F.when((F.size(acc) == 0) | far, F.concat(acc, F.array(p))).otherwise(acc)
+
+    return F.aggregate(chain, F.slice(chain, F.lit(1), F.lit(1)), step)

@@ -59,3 +59,25 @@ def q_components(spark, sf_dir):
 @query("q_largest_component", f"{_REACH}, s AS (SELECT image_id, label, count(*) AS n FROM c GROUP BY image_id, label), k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, label) AS k FROM s) SELECT image_id, label, n FROM k WHERE k = 1")
 def q_largest_component(spark, sf_dir):
     return K.largest(_components(spark, sf_dir), ID).select("image_id", "label", "n")
+
+
+@query("q_line_merge")
+def q_line_merge(spark, sf_dir):
+    return L.merged(_votes(spark, sf_dir), ID, apart=2.0)
+
+
+@query("q_line_refine", f"""{_VOTES}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, theta, rho) AS id FROM h), t3 AS (SELECT * FROM k WHERE id <= 3),
+d AS (SELECT t3.image_id, t3.theta, t3.rho, avg(p.x * cos(theta * (pi() / 180.0)) + p.y * sin(theta * (pi() / 180.0))) AS m, count(*) AS n FROM t3 JOIN px8 AS p ON p.image_id = t3.image_id AND p.v > 0.12 AND abs(p.x * cos(theta * (pi() / 180.0)) + p.y * sin(theta * (pi() / 180.0)) - rho) <= 1.5 GROUP BY 1, 2, 3)
+SELECT t3.image_id, t3.theta, t3.rho, {s6('CASE WHEN n >= 3 THEN m ELSE t3.rho END')} AS rho_fit FROM t3 LEFT JOIN d USING (image_id, theta, rho)""")
+def q_line_refine(spark, sf_dir):
+    top = L.strongest(_votes(spark, sf_dir), ID, 3).select("image_id", "theta", "rho")
+    out = L.refined(top, px8(spark, sf_dir).where("v > 0.12"), ID, 1.5, 3)
+    return out.select("image_id", "theta", "rho", r6(F.col("rho_fit")).alias("rho_fit"))
+
+
+@query("q_space_outline")
+def q_space_outline(spark, sf_dir):
+    from pixelloom.session import table
+
+    chain = F.transform("embedding", lambda v, i: F.struct((i * 3.0).alias("x"), (v.cast("double") * 40.0).alias("y")))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.size(L.spaced(chain, 12.0)).alias("kept"))
