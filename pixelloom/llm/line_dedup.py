@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.support import ASCII_LOWER, ASCII_UPPER, SPACE_CHARS, fresh
+from pixelloom.llm.support import ASCII_LOWER, ASCII_UPPER, SPACE_CHARS, fresh, once
 from pixelloom.session import cut
 
 MIN_KEY_CHARS, MIN_DOCUMENTS = 1, 10
@@ -48,12 +48,12 @@ def line_dedup(df: DataFrame, text: str = "text", min_chars: int = MIN_KEY_CHARS
     key, lost, lines = fresh(df, "row_key", "lost", "lines")
     # Hashes are made once and checkpointed, 16 bytes a line, for both the count and the positions.
     hashed = cut(df.select(_row_key(df, text).alias(key), _hashes(F.col(text), min_chars).alias("hashes")))
-    once = hashed.select(F.explode(F.array_compact(F.array_distinct("hashes"))).alias("hash"))
-    common = once.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("hash")
+    of_row = hashed.select(F.explode(F.array_compact(F.array_distinct("hashes"))).alias("hash"))
+    common = of_row.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("hash")
     at = hashed.select(key, F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
     positions = at.join(common, "hash", "left_semi").groupBy(key).agg(F.collect_set("pos").alias(lost))
     out = df.withColumn(key, _row_key(df, text)).join(positions, key, "left")
-    out = out.withColumn(lines, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    out = once(out, **{lines: F.split(F.coalesce(F.col(text), F.lit("")), "\n")})
     kept = F.when(F.col(lost).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(
         F.array_join(
             F.transform(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))), lambda i: F.get(F.col(lines), i)),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from pixelloom.llm.support import ASCII_UPPER, SPACE_CHARS, bind, fresh, word_array
+from pixelloom.llm.support import ASCII_UPPER, SPACE_CHARS, bind, fresh, once, word_array
 from pixelloom.session import cut
 
 SYMBOLS = "#*$%&|<>"
@@ -83,18 +83,17 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     t, words, lines = fresh(df, "whole", "words", "lines")
     body = F.col(t)
     out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumns({words: word_array(body), lines: F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)})
-    out = out.withColumns(
-        {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(_without(body, SPACE_CHARS)).cast("long"),
-            "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": repeated_words(F.col(words)),
-            "_n_lines": F.size(lines),
-            "_upper": (F.length(body) - F.length(_without(body, ASCII_UPPER))).cast("double"),
-            "_shouts": (F.length(body) - F.length(_without(body, "!"))).cast("double"),
-        }
+    out = once(out, **{words: word_array(body), lines: F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)})
+    out = once(
+        out,
+        n_words=F.size(words).cast("long"),
+        word_chars=F.length(_without(body, SPACE_CHARS)).cast("long"),
+        n_symbols=(F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
+        n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        n_repeat_words=repeated_words(F.col(words)),
+        _n_lines=F.size(lines),
+        _upper=(F.length(body) - F.length(_without(body, ASCII_UPPER))).cast("double"),
+        _shouts=(F.length(body) - F.length(_without(body, "!"))).cast("double"),
     )
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     out = out.withColumns(
@@ -132,7 +131,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified(figures: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> list[tuple]:
-    """(stratum, rule, cutoff) of every safe cutoff in use; stratum None is the shared one. At most (MAX_STRATA + 1) x rules rows."""
+    """(stratum, rule, cutoff) of every stratum and rule, the cutoff None if none is safe; stratum None is the shared one. At most (MAX_STRATA + 1) x rules rows."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
     holdout = figures.join(good, figures["doc_id"] == good["_good"], "left_semi")
     # Counts by stratum of good rows and, for each rule and cutoff, of those that it would reject.
@@ -154,8 +153,8 @@ def certified(figures: DataFrame, labels: DataFrame, stratum: str = "lang", alph
     tests = tests.withColumn("n_tests", F.size(F.collect_set(F.struct("top", "rule")).over(W.partitionBy(F.lit(1)))))
     safe = tests.withColumn("safe", (F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("n_tests")))
     in_turn = W.partitionBy("top", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    safe = safe.withColumn("all_so_far", F.min("safe").over(in_turn)).where("all_so_far")
-    best = safe.groupBy("top", "rule").agg(F.min_by("cutoff", F.struct(-F.col("i"))).alias("cutoff"))
+    safe = safe.withColumn("all_so_far", F.min("safe").over(in_turn))
+    best = safe.groupBy("top", "rule").agg(F.max_by("cutoff", F.when(F.col("all_so_far"), F.col("i"))).alias("cutoff"))
     return [(r["top"], r["rule"], r["cutoff"]) for r in best.orderBy("top", "rule").collect()]
 
 
@@ -163,7 +162,7 @@ def verdict(cutoffs: list[tuple], stratum: str = "lang") -> Column:
     """Whether a measured row passes the base rule and every cutoff of its stratum."""
     by_stratum: dict = {}
     for s, rule, c in cutoffs:
-        by_stratum.setdefault(s, {})[rule] = c
+        by_stratum.setdefault(s, {})[rule] = float("inf") if c is None else c
     own = F.col(stratum).cast("string")
     limits = {}
     for rule in GRIDS:

@@ -44,6 +44,14 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator of one row, so that no filter or projection above makes the optimiser write their
+    expressions out again: within higher-order functions that would mean for every element."""
+    held, = fresh(df, "held")
+    packed = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(c for c in df.columns if c not in columns), packed.alias(held)).select("*", *(F.col(f"{held}.{n}").alias(n) for n in columns)).drop(held)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}
