@@ -14,8 +14,9 @@
    compared with them by exact weighted Jaccard similarity. The original of a group of edited copies is in
    the largest bucket of every band, so it leads wherever it is. Texts that are like none of their leaders
    are compared again in finer buckets, of the keys of one more band each round, with texts that haven't
-   led, until no comparison is left or all bands are used. A bucket of n texts costs n x LEADERS comparisons
-   a round, never n squared.
+   led, until no comparison is left, ``REFINEMENTS`` rounds at most: after five, a bucket stands for 15 samples,
+   and texts of similarity 0.8 seldom share one. A bucket of n texts costs n x LEADERS comparisons a round,
+   never n squared.
 5. Similar pairs are links; classes are the connected components of links and equal texts, found by
    passing on the least label along links, with checkpoints.
 
@@ -43,7 +44,7 @@ from pixelloom.session import cut, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
-LEADERS = 4
+LEADERS, REFINEMENTS, SALTS = 4, 5, 32
 DF_CELLS, DAMPING, LEVELS = 1 << 18, 0.25, 8
 _VARIATES = 1 << 16
 
@@ -213,7 +214,7 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         "texts",
     )
     tested = None
-    for step in range(bands):
+    for step in range(min(bands, REFINEMENTS)):
         finer = [F.xxhash64(F.lit(b), *(F.get("keys", F.lit((b + i) % bands)) for i in range(step + 1))) for b in range(bands)]
         members = state.select("node", "central", "common", "open", "led", F.explode(F.array(*finer)).alias("bucket"))
         top = F.struct((~F.col("led")).alias("fresh"), "central", "common", "node")
@@ -227,7 +228,7 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         results = stored(_similarities(pairs, texts, levels, width), "similarities")
         tested = results if tested is None else tested.unionByName(results)
-        if step == bands - 1 or results.isEmpty():
+        if step == min(bands, REFINEMENTS) - 1 or results.isEmpty():
             break
         alike = F.col("similarity") >= similarity
         marks = results.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("a_led").alias("did"), alike.alias("linked")), F.struct(F.col("b").alias("k"), F.col("b_led").alias("did"), alike.alias("linked")))).alias("m"))
@@ -244,8 +245,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         offered = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
         near = labels.union(offered).groupBy("node").agg(F.min("label").alias("label"))
-        jump = near.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = cut(near.join(jump, near["label"] == jump["at"], "left").select("node", F.coalesce("further", "label").alias("label")))
+        # A label may be that of a third of all nodes: its own label is looked up in SALTS places.
+        near = cut(near)
+        jump = near.select("label").distinct().select(F.col("label").alias("at")).join(near, F.col("at") == F.col("node")).select("at", F.col("label").alias("further"))
+        jump = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = near.withColumn("own_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        new = cut(salted.join(jump, (F.col("label") == F.col("at")) & (F.col("own_salt") == F.col("salt"))).select("node", F.col("further").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old")
         if changed.isEmpty():
             return new
