@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from pixelloom.llm.quality_rules import ALPHA, COUNTS, DELTA, GRIDS
+
 LINE_DEDUP = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
@@ -14,3 +16,29 @@ SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropp
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM judged JOIN docs d USING (r) GROUP BY r, d.doc_id
 """
+
+_RULES = ", ".join(f"('{rule}', {i}, {cutoff!r})" for rule, grid in GRIDS.items() for i, cutoff in enumerate(grid))
+_FIGURE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in GRIDS) + " END"
+
+QUALITY_RULES = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT r, i, array_to_string(w[i:i + 4], chr(10)) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+p AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM c WHERE c > 1) GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(t) - length(replace(t, '!', '')) AS shouts, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper
+  FROM d JOIN w USING (r) LEFT JOIN l USING (r) LEFT JOIN p USING (r)),
+f AS (SELECT *, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbol_share, CAST(shouts AS DOUBLE) / greatest(n_words, 1) AS shout_share, CAST(upper AS DOUBLE) / greatest(word_chars, 1) AS upper_share,
+  CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_share, CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_share, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS long_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
+rules(rule, i, cutoff) AS (VALUES {_RULES}),
+good AS (SELECT f.* FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+k AS (SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE {_FIGURE} > cutoff) AS k FROM good, rules GROUP BY ALL),
+s AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({ALPHA}) + (n - j) * ln(1.0 - {ALPHA}))))) END <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM k)) AS safe FROM k),
+q AS (SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY i) AS so_far FROM s),
+b AS (SELECT lang, rule, min(cutoff) AS cutoff FROM q WHERE so_far GROUP BY lang, rule),
+x AS (SELECT DISTINCT r FROM f JOIN b ON CASE WHEN f.lang IN (SELECT lang FROM k WHERE lang IS NOT NULL) THEN f.lang = b.lang ELSE b.lang IS NULL END AND {_FIGURE} > b.cutoff)
+SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM x) AS kept FROM f
+"""

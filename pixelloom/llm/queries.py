@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP}
+ORACLES: dict[str, str] = {"op2_line_dedup": oracles.LINE_DEDUP, "op10_quality_rules": oracles.QUALITY_RULES}
