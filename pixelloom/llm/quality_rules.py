@@ -178,14 +178,18 @@ def verdict(cutoffs: list[tuple], stratum: str = "lang") -> Column:
     return ~F.col("base_failed") & passes
 
 
+def _figures(docs: DataFrame, text: str, stratum: str) -> DataFrame:
+    """The figures of all rows without their texts, checkpointed: a few numbers a row, so that no later join carries texts."""
+    return cut(measured(docs.select("doc_id", text, stratum), text).drop(text))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """Adds counts, figures and ``kept`` to every row; the rest of the row stays."""
-    figures = measured(docs, text)
-    cutoffs = certified(figures, labels, stratum)
-    return figures.withColumn("kept", verdict(cutoffs, stratum))
+    cutoffs = certified(_figures(docs, text, stratum), labels, stratum)
+    return measured(docs, text).withColumn("kept", verdict(cutoffs, stratum))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The verdicts without the texts. Figures are made once and checkpointed: they are a few numbers a row."""
-    figures = cut(measured(docs.select("doc_id", text, stratum), text).drop(text))
+    """The verdicts without the texts, from figures that are made once."""
+    figures = _figures(docs, text, stratum)
     return figures.withColumn("kept", verdict(certified(figures, labels, stratum), stratum)).select("doc_id", *COUNTS, "base_failed", "kept")
