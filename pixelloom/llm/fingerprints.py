@@ -48,25 +48,29 @@ def term_hashes(text: Column) -> Column:
     return bind(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.xxhash64(F.coalesce(F.get(w, i - 1), edge), F.coalesce(F.get(w, i), edge))))
 
 
-def _draw(h: Column, weight: Column | None) -> Column:
-    """The packed draw of a slice; without a weight: of a whole slice, for which t is 0."""
+def _gamma(h: Column, seed: int) -> Column:
+    """A draw from Gamma(2, 1)."""
+    high, low = _halves(F.xxhash64(h, F.lit(seed)))
+    return -F.log(_unit(high) * _unit(low))
+
 
-    def drawn(gammas: Column) -> Column:
-        r, c = -F.log(_unit(gammas["r1"]) * _unit(gammas["r2"])), -F.log(_unit(gammas["c1"]) * _unit(gammas["c2"]))
-        beta = _unit(F.shiftrightunsigned(h, 32))
+def _packed(h: Column, ln_a: Column, t: Column | None) -> Column:
+    value = F.floor(F.least(F.greatest(ln_a, F.lit(-63.0)), F.lit(63.0)) * float(1 << 24)) + (1 << 30)
+    own = F.shiftrightunsigned(h, 16)
+    sample = (own if t is None else own + t.cast("long") * 40503).bitwiseAND(F.lit(_SAMPLE - 1).cast("long"))
+    return h.bitwiseAND(F.lit(BINS - 1).cast("long")) * _VALUE + value * _SAMPLE + sample
 
-        def packed(ln_a: Column, t: Column) -> Column:
-            value = F.floor(F.least(F.greatest(ln_a, F.lit(-63.0)), F.lit(63.0)) * float(1 << 24)) + (1 << 30)
-            sample = F.xxhash64(h, t).bitwiseAND(F.lit(_SAMPLE - 1).cast("long"))
-            return h.bitwiseAND(F.lit(BINS - 1).cast("long")) * _VALUE + value * _SAMPLE + sample
 
-        if weight is None:
-            return bind(r, lambda x: packed(F.log(c) + x * beta - x, F.lit(0.0)))
-        t = F.floor(F.log(weight) / r + beta).cast("double")
-        return bind(F.struct(r.alias("r"), t.alias("t")), lambda x: packed(F.log(c) - x["r"] * (x["t"] - beta) - x["r"], x["t"]))
+def _draw(h: Column, weight: Column | None) -> Column:
+    """The packed draw of a slice; without a weight: of a whole slice, for which t is 0 and r is needed once."""
+    beta = _unit(F.shiftrightunsigned(h, 32))
+    if weight is None:
+        return _packed(h, F.log(_gamma(h, 2)) + _gamma(h, 1) * (beta - 1.0), None)
+
+    def drawn(r: Column) -> Column:
+        return bind(F.floor(F.log(weight) / r + beta), lambda t: _packed(h, F.log(_gamma(h, 2)) - r * (t - beta) - r, t))
 
-    (r1, r2), (c1, c2) = _halves(F.xxhash64(h, F.lit(1))), _halves(F.xxhash64(h, F.lit(2)))
-    return bind(F.struct(r1.alias("r1"), r2.alias("r2"), c1.alias("c1"), c2.alias("c2")), drawn)
+    return bind(_gamma(h, 1), drawn)
 
 
 def _later_slices(h: Column, count: Column) -> Column:
@@ -90,7 +94,7 @@ def fingerprint(text: Column) -> Column:
     def draws(hashes: Column) -> Column:
         def weighted(starts: Column) -> Column:
             count = lambda p, j: F.coalesce(F.get(starts, j + 1), F.size(hashes)) - p
-            first = F.transform(starts, lambda p: _draw(F.get(hashes, p), None))
+            first = F.transform(F.transform(starts, lambda p: F.get(hashes, p)), lambda h: _draw(h, None))
             many = F.filter(F.transform(starts, lambda p, j: F.struct(p.alias("p"), count(p, j).alias("n"))), lambda x: x["n"] > 1)
             return F.concat(first, F.flatten(F.transform(many, lambda x: bind(F.get(hashes, x["p"]), lambda h: _later_slices(h, x["n"])))))
 
@@ -101,7 +105,7 @@ def fingerprint(text: Column) -> Column:
         sample = lambda x: (of_bin(x) * _SAMPLE + x.bitwiseAND(F.lit(_SAMPLE - 1).cast("long"))).cast("int")
         return F.transform(_starts(packed, of_bin), lambda p: sample(F.get(packed, p)))
 
-    return bind(F.array_sort(bind(F.array_sort(term_hashes(text)), draws)), least)
+    return bind(F.sort_array(bind(F.sort_array(term_hashes(text)), draws)), least)
 
 
 def as_string(samples: Column) -> Column:
