@@ -33,6 +33,9 @@ from pixelloom.llm.text_arrays import bounded_batches
 #: Fixed value: the word pattern of byte-level BPE tokenizers. White space is the Unicode property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 REMEMBERED = 400_000
+#: Up to so many bytes, a plain search is faster than a heap.
+SHORT = 40
+NO_MERGE = 1 << 62
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -71,11 +74,14 @@ class ForcedBoundaryBPE:
         for content, i in added.items():
             self.token_bytes[i] = content.encode()
         self.never_inside = ~inside
+        self.never_pairs = frozenset(zip(*(x.tolist() for x in np.nonzero(self.never_inside))))
         self.byte_id = [vocab[bytes([b])] for b in range(256)]
+        # A pair of ids is one number, and so are a merge's rank and the id that it makes: the least number merges first.
+        self.bits = len(self.token_bytes).bit_length()
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(as_bytes, pair if isinstance(pair, list) else pair.split(" "))
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << self.bits | vocab[right]] = rank << self.bits | vocab[left + right]
         self.added = added
         self.added_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.words = regex.compile(WORD_PATTERN)
@@ -85,34 +91,67 @@ class ForcedBoundaryBPE:
 
     def forced_cuts(self, raw: bytes) -> list[bytes]:
         """The fragments between the certain cuts."""
-        b = np.frombuffer(raw, dtype=np.uint8)
-        at = np.flatnonzero(self.never_inside[b[:-1], b[1:]]) + 1
-        bounds = [0, *at.tolist(), len(raw)]
+        if len(raw) <= SHORT:
+            never = self.never_pairs
+            at = [i for i, pair in enumerate(zip(raw, raw[1:]), 1) if pair in never]
+        else:
+            b = np.frombuffer(raw, dtype=np.uint8)
+            at = (np.flatnonzero(self.never_inside[b[:-1], b[1:]]) + 1).tolist()
+        if not at:
+            return [raw]
+        bounds = [0, *at, len(raw)]
         return [raw[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.fragments.__getitem__, self.forced_cuts(word.encode()))))
+        fragments = self.forced_cuts(word.encode())
+        if len(fragments) == 1:
+            return self._merge(fragments[0])
+        return tuple(chain.from_iterable(map(self.fragments.__getitem__, fragments)))
 
     def _merge(self, fragment: bytes) -> tuple[int, ...]:
-        """Lowest-ranked merges first, leftmost among equals, on a linked list with a heap: n log n for long fragments too."""
+        return self._merge_short(fragment) if len(fragment) <= SHORT else self._merge_long(fragment)
+
+    def _merge_short(self, fragment: bytes) -> tuple[int, ...]:
+        """The lowest-ranked merge, the leftmost of equals, again and again; after each, its two neighbours are looked up anew."""
+        bits, look, none = self.bits, self.merges.get, NO_MERGE
+        ids = [self.byte_id[b] for b in fragment]
+        ranks = [look(a << bits | b, none) for a, b in zip(ids, ids[1:])]
+        low = (1 << bits) - 1
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i, merged = ranks.index(best), best & low
+            ids[i] = merged
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = look(merged << bits | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = look(ids[i - 1] << bits | merged, none)
+        return tuple(ids)
+
+    def _merge_long(self, fragment: bytes) -> tuple[int, ...]:
+        """The same on a linked list with a heap: n log n."""
+        bits, look, low = self.bits, self.merges.get, (1 << self.bits) - 1
         ids = [self.byte_id[b] for b in fragment]
         n = len(ids)
-        after, before, merges = list(range(1, n + 1)), list(range(-1, n - 1)), self.merges
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := look(ids[i] << bits | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, merged = heapq.heappop(heap)
+            m, i, left, right = heapq.heappop(heap)
             j = after[i] if ids[i] == left else n
             if j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j] = merged, -1
+            ids[i] = merged = m & low
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((merged, ids[k])):
-                    heapq.heappush(heap, (m[0], i, merged, ids[k], m[1]))
-            if (p := before[i]) >= 0 and (m := merges.get((ids[p], merged))):
-                heapq.heappush(heap, (m[0], p, ids[p], merged, m[1]))
+                if (m := look(merged << bits | ids[k])) is not None:
+                    heapq.heappush(heap, (m, i, merged, ids[k]))
+            if (p := before[i]) >= 0 and (m := look(ids[p] << bits | merged)) is not None:
+                heapq.heappush(heap, (m, p, ids[p], merged))
         return tuple(i for i in ids if i >= 0)
 
     def encode(self, text: str) -> list[int]:
