@@ -14,10 +14,14 @@
    compared with them by exact weighted Jaccard similarity. The original of a group of edited copies is in
    the largest bucket of every band, so it leads wherever it is. Texts that are like none of their leaders
    are compared again in finer buckets, of the keys of one more band each round, with texts that haven't
-   led, until no comparison is left, ``REFINEMENTS`` rounds at most: after five, a bucket stands for 15 samples,
-   and texts of similarity 0.8 seldom share one. A bucket of n texts costs n x LEADERS comparisons a round,
-   never n squared.
-5. Similar pairs are links; classes are the connected components of links and equal texts, found by
+   led, ``REFINEMENTS`` rounds at most. A bucket of n texts costs n x LEADERS comparisons a round.
+5. The rounds only save work; what they leave is settled exactly. Bucket mates of which neither led are
+   known to be in one class or are left over. Those left over are joined on the shingles that a pair of
+   ``SIMILARITY`` must share: with shingles in one order, the rarest first, the first common one of a pair comes
+   before so much weight of either text as the pair must have in common, t / (1 + t) of both weights. Texts are
+   compared if they meet at such a shingle and aren't in one class yet. That is without loss; n texts cost
+   n squared comparisons only if they share their rare shingles too and still aren't alike.
+6. Similar pairs are links; classes are the connected components of links and equal texts, found by
    passing on the least label along links, with checkpoints.
 
 Exact copies are one node throughout: nodes are hashes of texts (64 bits).
@@ -46,6 +50,8 @@ WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
 LEADERS, REFINEMENTS, SALTS = 4, 5, 32
 DF_CELLS, DAMPING, LEVELS = 1 << 18, 0.25, 8
+#: Classes of weight for the exact join: each reaches up to so many times its least weight.
+WEIGHT_STEP = 1.05
 _VARIATES = 1 << 16
 
 
@@ -55,8 +61,8 @@ def document_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
     return counted(*shingles_of(words_of(raw, offsets), len(texts), width))
 
 
-def frequency_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """For each hash cell, the level 0 .. LEVELS - 1 of the damped inverse document frequency of its shingles."""
+def cell_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """For each hash cell, the sum of its shingles' document frequencies; at the end, the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(DF_CELLS + 1, dtype=np.int64), 0
@@ -74,6 +80,12 @@ def frequency_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
     table = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros(DF_CELLS + 1)
     sums[table["cell"].to_numpy()] = table["n"].to_numpy()
+    return sums
+
+
+def frequency_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """For each hash cell, the level 0 .. LEVELS - 1 of the damped inverse document frequency of its shingles."""
+    sums = cell_counts(docs, text, width)
     total = max(2.0, sums[-1])
     rarity = 1.0 - np.log1p(np.minimum(sums[:-1], total)) / np.log1p(total)
     return np.round(rarity * (LEVELS - 1)).astype(np.uint8)
@@ -196,6 +208,71 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
     return both.mapInArrow(run, "a long, b long, a_led boolean, b_led boolean, similarity double")
 
 
+def _required(rest: DataFrame, levels, width: int, similarity: float) -> DataFrame:
+    """(key, node, label, weight, left, low, high) for texts (node, label, text): the shingles at which a text can first meet
+    a similar one, for each class of the other's weight. left: the weight from this shingle on; low, high: whether the
+    text's class is the lower or the higher of the two, both if they are equal."""
+    counts = rest.sparkSession.sparkContext.broadcast(cell_counts(rest, "text", width)[:-1].astype(np.int64))
+    share, step, slack = similarity / (1.0 + similarity), np.log(WEIGHT_STEP), 1e-9
+    reach = int(np.ceil(-np.log(similarity) / step)) + 1
+    names = ["key", "node", "label", "weight", "left", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = levels.value, counts.value
+        for batch in bounded_batches(batches, "text"):
+            doc, element, count = document_shingles(batch.column("text"), width)
+            if not len(doc):
+                continue
+            node, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+            cell = (element & np.uint64(DF_CELLS - 1)).astype(np.int64)
+            weight = count * _idf(table[cell])
+            order = np.lexsort((element, seen[cell], doc))
+            doc, element, weight, often = doc[order], element[order], weight[order], seen[cell][order]
+            whole = np.bincount(doc, weight, minlength=batch.num_rows)
+            _, begins = segments(doc)
+            before = np.cumsum(weight) - weight
+            left = whole[doc] - (before - np.repeat(before[begins], np.diff(np.append(begins, len(doc)))))
+            own = np.floor(np.log(np.maximum(whole, 1e-12)) / step).astype(np.int64)
+            for k in range(-reach, reach + 1):
+                # The least weight of a similar text of this class, and what it must have in common with this one.
+                least = np.maximum(np.exp((own + k) * step), similarity * whole) * (1 - slack)
+                possible = (least <= whole / similarity * (1 + slack)) & (np.exp((own + k + 1) * step) >= similarity * whole * (1 - slack))
+                # A shingle that is alone in its cell is in no other text.
+                at = np.flatnonzero(possible[doc] & (often > 1) & (left >= share * (whole + least)[doc] * (1 - slack)))
+                for i in range(0, len(at), 100_000):
+                    t = at[i : i + 100_000]
+                    d = doc[t]
+                    classes = np.minimum(own, own + k)[d].astype(np.uint64) * np.uint64(64) + np.uint64(abs(k))
+                    key = mix(element[t] * np.uint64(0x9E3779B97F4A7C15) + mix(classes)).view(np.int64)
+                    columns = [key, node[d], label[d], whole[d], left[t], np.full(len(t), k >= 0), np.full(len(t), k <= 0)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return rest.mapInArrow(run, "key long, node long, label long, weight double, left double, low boolean, high boolean")
+
+
+def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: DataFrame, levels, width: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, a_led, b_led) that the rounds haven't compared, aren't known to be in one class and can be similar:
+    without loss among ``unled`` (node, bucket), the texts that don't lead their first buckets."""
+    known = components(tested.where(F.col("similarity") >= similarity)).withColumnRenamed("node", "k")
+    labelled = cut(state.select("node").join(known, F.col("node") == F.col("k"), "left").select("node", F.coalesce("label", "node").alias("label")))
+    mates = unled.join(labelled, "node")
+    mixed = mates.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
+    rest = mates.join(mixed, "bucket", "left_semi").select("node", "label").distinct()
+    rest = stored(rest.join(texts, "node"), "left-over")
+    places = stored(_required(rest, levels, width, similarity), "places")
+    meet = places.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    places = cut(places.join(meet, "key", "left_semi"))
+    x = places.where("low").select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "weight", "left", "high")))
+    y = places.where("high").select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "weight", "left")))
+    common = F.lit(similarity / (1.0 + similarity) * (1 - 1e-9)) * (F.col("weight_x") + F.col("weight_y"))
+    enough = F.least("left_x", "left_y") >= common
+    once = ~F.col("high_x") | (F.col("node_x") < F.col("node_y"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("label_x") != F.col("label_y")) & once & enough)
+    no = F.lit(False)
+    pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", no.alias("a_led"), no.alias("b_led"))
+
+
 def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(a, b, similarity): verified links between nodes of different texts, a < b; each class is connected by them."""
     spark = docs.sparkSession
@@ -213,15 +290,17 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         texts.join(wanted, (F.col("node") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("node", "text").dropDuplicates(["node"]),
         "texts",
     )
-    tested = None
+    tested = unled = None
     for step in range(min(bands, REFINEMENTS)):
         finer = [F.xxhash64(F.lit(b), *(F.get("keys", F.lit((b + i) % bands)) for i in range(step + 1))) for b in range(bands)]
         members = state.select("node", "central", "common", "open", "led", F.explode(F.array(*finer)).alias("bucket"))
         top = F.struct((~F.col("led")).alias("fresh"), "central", "common", "node")
         of_class = [F.max(F.when(F.pmod("node", F.lit(LEADERS)) == c, top))["node"].alias(f"l{c}") for c in range(LEADERS)]
         lead = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), *of_class).where("n > 1 and any_open")
-        lead = lead.select("bucket", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders"))
+        lead = lead.select("bucket", "n", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders"))
         compared = members.where("open").select("node", "bucket").join(lead, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+        if unled is None:
+            unled = stored(members.join(lead.where("n > 2"), "bucket").where(~F.array_contains("leaders", F.col("node"))).select("node", "bucket"), "unled")
         low = F.least("node", "leader")
         pairs = compared.groupBy(low.alias("a"), F.greatest("node", "leader").alias("b")).agg(F.max(F.col("leader") == low).alias("a_led"), F.max(F.col("leader") != low).alias("b_led"))
         if tested is not None:
@@ -235,6 +314,8 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         marks = marks.groupBy("m.k").agg(F.max("m.did").alias("did"), F.max("m.linked").alias("linked"))
         state = state.join(marks, F.col("node") == F.col("k"), "left")
         state = cut(state.select("node", "keys", "central", "common", (F.col("open") & ~F.coalesce("linked", F.lit(False))).alias("open"), (F.col("led") | F.coalesce("did", F.lit(False))).alias("led")))
+    pairs = _left_over(state, unled, texts, tested, levels, width, similarity)
+    tested = tested.unionByName(stored(_similarities(pairs, texts, levels, width), "similarities"))
     return tested.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
 
 

@@ -106,6 +106,50 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert links(df).count() < 3 * 400
 
 
+def exact_classes(spark, texts):
+    """The classes by the exact similarity of all pairs, with the operator's weights."""
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    table = frequency_levels(df, "text", 5)
+    doc, element, count = document_shingles(pa.array(texts), 5)
+    weight = count * _idf(table[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
+    names, column = np.unique(element, return_inverse=True)
+    dense = np.zeros((len(texts), len(names)))
+    dense[doc, column] = weight
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        shared = np.minimum(dense[i], dense[:i]).sum(axis=1)
+        for j in np.flatnonzero(shared / (dense[i].sum() + dense[:i].sum(axis=1) - shared) >= 0.8):
+            low, high = sorted((root(i), root(int(j))))
+            parent[high] = low
+    return {i: root(i) for i in range(len(texts))}
+
+
+def template_family(n, pairs):
+    """Texts that share 84 of 100 words, about 0.7 alike; in each of the first pairs, seven more words are the same."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(84)]
+    own = [[f"u{i}-{rng.random()}" for _ in range(16)] for i in range(n)]
+    for p in range(pairs):
+        own[2 * p + 1][:8] = own[2 * p][:8]
+    texts = [" ".join(template + o) for o in own]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_pairs_within_a_template_family_are_all_found(spark):
+    texts = template_family(600, 60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = exact_classes(spark, texts)
+    assert len(set(want.values())) == 600 - 60
+    assert {r.doc_id: r.class_id for r in near_classes(df).collect()} == want
+
+
 def test_odd_rows(spark):
     rows = [(None, None, 1), (7, "", 2), (7, "", 2), (3, "a b c d e f", 5), (3, "a b c d e f", 5), (None, "a b c d e f", 6), (9, "lone", 7), (8, "word " * 40_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
