@@ -150,6 +150,24 @@ def test_pairs_within_a_template_family_are_all_found(spark):
     assert {r.doc_id: r.class_id for r in near_classes(df).collect()} == want
 
 
+def test_bridges_between_large_groups_are_found(spark):
+    """Pairs of groups with hubs 0.71 alike; one text of each group is like one of the other, and nothing else joins them."""
+    rng, texts, worlds, copies = random.Random(5), [], 6, 90
+    for w in range(worlds):
+        t, c = [f"t{w}-{i}" for i in range(100)], [f"c{w}-{i}" for i in range(16)]
+        for hub in (t, t[:84] + c):
+            texts.append(" ".join(hub))
+            for _ in range(copies):
+                copy = list(hub)
+                copy[rng.randrange(80)] = f"n{rng.random()}"
+                texts.append(" ".join(copy))
+        texts += [" ".join(t[:92] + c[8:]), " ".join(t[:88] + c[4:])]
+    size = len(texts) // worlds
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_classes(df).collect()}
+    assert got == {i: i // size * size for i in range(len(texts))}
+
+
 def test_odd_rows(spark):
     rows = [(None, None, 1), (7, "", 2), (7, "", 2), (3, "a b c d e f", 5), (3, "a b c d e f", 5), (None, "a b c d e f", 6), (9, "lone", 7), (8, "word " * 40_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
