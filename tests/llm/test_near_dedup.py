@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 
+from pixelloom.llm import near_dedup as nd
 from pixelloom.llm.near_dedup import DF_CELLS, Sampler, _idf, components, document_shingles, frequency_levels, links, near_classes, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -168,6 +169,13 @@ def test_bridges_between_large_groups_are_found(spark):
     assert got == {i: i // size * size for i in range(len(texts))}
 
 
+def test_rounds_bound_work_and_not_results(spark, monkeypatch):
+    monkeypatch.setattr(nd, "REFINEMENTS", 1)
+    texts = template_family(300, 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.class_id for r in near_classes(df).collect()} == exact_classes(spark, texts)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, 1), (7, "", 2), (7, "", 2), (3, "a b c d e f", 5), (3, "a b c d e f", 5), (None, "a b c d e f", 6), (9, "lone", 7), (8, "word " * 40_000, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node int")
