@@ -69,11 +69,10 @@ def q_enhance_image(spark, sf_dir):
 
 
 def _scene(spark, sf_dir):
-    """One 60 x 48 scene for each of the first images: a bright page, the quad about the frame's middle, on a dark table."""
+    """One 60 x 48 scene for each image: a bright page, the quad about the frame's middle, on a dark table."""
     from pixelloom.functions.geometry import inside_convex, quad_points
 
-    few = quads(spark, sf_dir).where("image_id < 40")
-    grid = few.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(59))))
+    grid = quads(spark, sf_dir).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(59))))
     return grid.select("image_id", "y", "x", F.when(inside_convex(F.col("x") * 100.0 / 60, F.col("y") * 100.0 / 48, quad_points(F.col("q"))), 0.9).otherwise(0.1).alias("v"))
 
 
