@@ -7,8 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.llm import fingerprints
-from pixelloom.llm.fingerprints import as_string, fingerprint, fingerprint_report, likeness
+from pixelloom.llm.fingerprints import as_string, fingerprint_report, fingerprints, likeness
 
 
 def terms(text):
@@ -26,15 +25,33 @@ def prose(rng, n):
     return " ".join(f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(n))
 
 
-def test_likeness_estimates_generalised_jaccard(spark):
-    rng, pairs = random.Random(5), []
-    for i in range(300):
-        a, b = prose(rng, 400), prose(rng, 400)
-        cut = rng.randrange(0, len(a))
-        pairs.append((i, a, a[:cut] + b[cut:]))
-    df = spark.createDataFrame(pairs, "i long, a string, b string").select("*", fingerprint(F.col("a")).alias("fa"), fingerprint(F.col("b")).alias("fb"))
-    errors = [r.s - jaccard(r.a, r.b) for r in df.withColumn("s", likeness(F.col("fa"), F.col("fb"))).collect()]
-    assert abs(sum(errors) / 300) < 0.03 and (sum(e * e for e in errors) / 300) ** 0.5 < 0.06
+def estimated(spark, pairs, samples):
+    """The estimates and the true similarities of pairs of texts."""
+    df = spark.createDataFrame([(i, side, t) for i, pair in enumerate(pairs) for side, t in enumerate(pair)], "i long, side int, text string").repartition(8)
+    prints = fingerprints(df, "text", ["i", "side"], samples).groupBy("i").agg(*(F.max(F.when(F.col("side") == s, F.col("samples"))).alias(f"f{s}") for s in (0, 1)))
+    got = {r.i: r.s for r in prints.select("i", likeness(F.col("f0"), F.col("f1")).alias("s")).collect()}
+    return [(got[i], jaccard(*pair)) for i, pair in enumerate(pairs)]
+
+
+@pytest.mark.parametrize("words, n, samples", [(20, 3000, 48), (200, 2000, 48), (5000, 250, 200)])
+def test_likeness_is_unbiased(spark, words, n, samples):
+    rng, pairs = random.Random(words), []
+    for i in range(n):
+        # Words of their own for each pair, so that the errors are independent.
+        a, b = (prose(rng, words).replace("w", f"{i}w") for _ in range(2))
+        at = rng.randrange(0, len(a))
+        pairs.append((a, a[:at] + b[at:]))
+    errors = [s - true for s, true in estimated(spark, pairs, samples)]
+    assert abs(sum(errors) / n) < 0.005
+    assert (sum(e * e for e in errors) / n) ** 0.5 < 1.1 * 0.5 / samples**0.5
+
+
+def test_weights_count(spark):
+    """Pairs that differ in a repeated term's count: the estimate follows the weights, not the sets."""
+    pairs = [(f"{i}a " * 20 + f"{i}b", f"{i}a " * 4 + f"{i}b") for i in range(1500)]
+    got = estimated(spark, pairs, 48)
+    true = (1 + math.log(3) + 3) / (1 + math.log(19) + 3)
+    assert all(t == pytest.approx(true) for _, t in got) and abs(sum(s for s, _ in got) / 1500 - true) < 0.005
 
 
 def brute(rows):
@@ -48,12 +65,20 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("per_range", [1, 7, 10_000])
-def test_next_documents(spark, monkeypatch, per_range):
-    monkeypatch.setattr(fingerprints, "ROWS_A_RANGE", per_range)
-    rng = random.Random(per_range)
+@pytest.mark.parametrize("partitions", [1, 7, 60])
+def test_next_documents(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        next_documents(spark, partitions)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def next_documents(spark, seed):
+    rng = random.Random(seed)
     rows = [(rng.randrange(-50, 10_000), prose(rng, rng.randint(0, 30)) + "é🙂" * rng.randint(0, 2)) for _ in range(90)]
-    rows += [(None, "null id"), (None, "other null id"), (5, None), (5, ""), (5, "same"), (5, "same"), (7, "日本語 " * 3000)]
+    rows += [(None, "null id"), (None, "other null id"), (5, None), (5, ""), (5, "same"), (5, "same"), *[(6, "many copies")] * 2100, (7, "日本語 " * 3000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, h int")
     keyed = [r.asDict() for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
     got = fingerprint_report(df).collect()
@@ -68,5 +93,7 @@ def test_small_tables(spark):
     assert fingerprint_report(one.limit(0)).collect() == []
     nulls = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
     assert [(r.n_chars, r.near_edited, r.near_next) for r in fingerprint_report(nulls).collect()] == [(0, 1.0, 1.0)] * 2
-    same = spark.createDataFrame([("a b c",), ("a b c",), ("a b d",)], "t string").select(as_string(fingerprint(F.col("t"))).alias("f")).collect()
-    assert same[0] == same[1] != same[2]
+    same = spark.createDataFrame([("a b c",), ("a b c",), ("a b d",)], "t string")
+    same = {r.i: r.f for r in fingerprints(same.withColumn("i", F.monotonically_increasing_id()), "t", ["i"]).select("i", as_string(F.col("samples")).alias("f")).collect()}
+    one, two, other = (same[i] for i in sorted(same))
+    assert one == two != other
