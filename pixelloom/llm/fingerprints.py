@@ -10,7 +10,7 @@ just these distributions and are independent (for a given a = e and v = ln(c / e
 Exp(1); so v and q are Exp(1) each, their sum is Gamma(2, 1) and beta uniform). Then a = e exp(-r t), so a term of weight
 1, for which t is 0, has a = e: one hash, without a logarithm. Two texts have the same sample with a probability equal to the generalised Jaccard similarity of their
 weights, the sum of minima over the sum of maxima, so the share of equal samples is an unbiased estimate of it, with a
-standard error of sqrt(s (1 - s) / SAMPLES). A sample is kept as a number of 32 bits.
+standard error of sqrt(s (1 - s) / SAMPLES). A sample is kept as a number of 31 bits.
 
 Counting a text's terms is done within its row. Then its distinct terms are exploded and each sample is a minimum over
 them: an aggregation that keeps one row a text in each task, so terms are never shuffled.
@@ -98,7 +98,7 @@ def fingerprints(df: DataFrame, text: str, keys: list[str], samples: int = SAMPL
     terms = df.select(*keys, F.explode(weighted_terms(F.col(text))).alias(term))
     h, count = F.shiftrightunsigned(term, COUNT_BITS), F.col(term).bitwiseAND(F.lit(MOST_COUNTED).cast("long"))
     least = terms.groupBy(*keys).agg(*(F.min(_draw(h, count, k)).alias(f"_sample_{k}") for k in range(samples)))
-    of_bits = lambda k: F.col(f"_sample_{k}").bitwiseAND(F.lit(_LOW).cast("long"))
+    of_bits = lambda k: F.col(f"_sample_{k}").bitwiseAND(F.lit(_LOW >> 1).cast("long")).cast("int")
     return least.select(*keys, F.array(*(of_bits(k) for k in range(samples))).alias("samples"))
 
 
