@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from pixelloom.llm.quality_rules import ALPHA, COUNTS, DELTA, GRIDS
+from pixelloom.llm.quality_rules import ALPHA, COUNTS, DELTA, DESIGN, GRIDS
 
 LINE_DEDUP = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -17,7 +17,7 @@ SELECT d.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropp
 FROM judged JOIN docs d USING (r) GROUP BY r, d.doc_id
 """
 
-_RULES = ", ".join(f"('{rule}', {i}, {cutoff!r})" for rule, grid in GRIDS.items() for i, cutoff in enumerate(grid))
+_RULES = ", ".join(f"('{rule}', {at}, {i}, {cutoff!r})" for at, (rule, grid) in enumerate(GRIDS.items()) for i, cutoff in enumerate(grid))
 _FIGURE = "CASE rule " + " ".join(f"WHEN '{rule}' THEN {rule}" for rule in GRIDS) + " END"
 
 QUALITY_RULES = rf"""
@@ -33,12 +33,18 @@ m AS (SELECT d.r, doc_id, lang, len(w) AS n_words, length(regexp_replace(t, '[\x
 f AS (SELECT *, CAST(n_symbols AS DOUBLE) / greatest(n_words, 1) AS symbol_share, CAST(shouts AS DOUBLE) / greatest(n_words, 1) AS shout_share, CAST(upper AS DOUBLE) / greatest(word_chars, 1) AS upper_share,
   CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1) AS dup_line_share, CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1) AS repeat_share, CAST(word_chars AS DOUBLE) / greatest(n_words, 1) AS long_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
-rules(rule, i, cutoff) AS (VALUES {_RULES}),
-good AS (SELECT f.* FROM f WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-k AS (SELECT lang, rule, i, cutoff, count(*) AS n, count(*) FILTER (WHERE {_FIGURE} > cutoff) AS k FROM good, rules GROUP BY ALL),
-s AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({ALPHA}) + (n - j) * ln(1.0 - {ALPHA}))))) END <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM k)) AS safe FROM k),
-q AS (SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY i) AS so_far FROM s),
-b AS (SELECT lang, rule, min(cutoff) AS cutoff FROM q WHERE so_far GROUP BY lang, rule),
-x AS (SELECT DISTINCT r FROM f JOIN b ON CASE WHEN f.lang IN (SELECT lang FROM k WHERE lang IS NOT NULL) THEN f.lang = b.lang ELSE b.lang IS NULL END AND {_FIGURE} > b.cutoff)
-SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM x) AS kept FROM f
+rules(rule, o, i, cutoff) AS (VALUES {_RULES}),
+marks AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT f.*, good, substr(md5(doc_id::VARCHAR), 1, 1) IN ({", ".join(f"'{c}'" for c in DESIGN)}) AS design FROM f JOIN marks USING (doc_id)),
+alone AS (SELECT rule, o, i, cutoff, count(*) FILTER (WHERE NOT good AND {_FIGURE} > cutoff) AS bad, count(*) FILTER (WHERE good AND {_FIGURE} > cutoff) AS lost FROM (SELECT * FROM lab WHERE design), rules GROUP BY ALL),
+gain AS (SELECT *, bad - coalesce(lag(bad) OVER (PARTITION BY rule ORDER BY i), 0) AS more FROM alone),
+steps AS (SELECT rule, cutoff, row_number() OVER (ORDER BY lost, i, o) AS step FROM gain WHERE more > 0),
+hit AS (SELECT r, min(step) AS step FROM f, steps WHERE {_FIGURE} > cutoff GROUP BY r),
+held AS (SELECT lang, step FROM lab LEFT JOIN hit USING (r) WHERE good AND NOT design),
+strata AS (SELECT lang, count(*) AS n, count(*) OVER () AS strata FROM held GROUP BY lang),
+k AS (SELECT strata.lang, n, strata, steps.step, count(held.step) FILTER (WHERE held.step <= steps.step) AS k FROM strata CROSS JOIN steps LEFT JOIN held ON held.lang IS NOT DISTINCT FROM strata.lang GROUP BY ALL),
+unsafe AS (SELECT lang, step FROM k WHERE CASE WHEN k >= n THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - lgamma(j + 1.0) - lgamma(n - j + 1.0) + j * ln({ALPHA}) + (n - j) * ln(1.0 - {ALPHA}))))) END > {DELTA} / strata),
+reach AS (SELECT strata.lang, coalesce(min(unsafe.step) - 1, (SELECT count(*) FROM steps)) AS reach FROM strata LEFT JOIN unsafe ON unsafe.lang IS NOT DISTINCT FROM strata.lang GROUP BY ALL)
+SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND NOT coalesce(hit.step <= reach.reach, false) AS kept
+FROM f LEFT JOIN hit USING (r) LEFT JOIN reach ON reach.lang IS NOT DISTINCT FROM f.lang
 """

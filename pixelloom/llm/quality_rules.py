@@ -1,35 +1,42 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Every rule compares one figure of a text with a cutoff. The cutoffs are not set by hand: on a labelled
-holdout, a cutoff counts as safe in a stratum (here a language) when the exact binomial test rejects
-"this cutoff would throw out more than ``alpha`` of the stratum's good documents". For each rule and
-stratum the cutoffs are tested from the laxest to the strictest and testing stops at the first that
-isn't safe (fixed-sequence testing), and the error level is divided by the number of rules and strata
-(Bonferroni). So with probability 1 - ``delta`` every cutoff in use keeps its false rejections within
-``alpha``; a rule that has no safe cutoff in a stratum rejects nothing there.
-
-Strata: the ``MAX_STRATA`` languages with the most good holdout documents; all others, null included,
-share one stratum, so the table of cutoffs has a fixed bound and is used as a literal.
-
-Defined results: null and empty texts have no words and fail the base rule; a document counts as
-labelled good if any label row of its id says so, and each labelled document row counts once; without
-labels only the base rule acts; equal rows get equal results; an empty table gives an empty table;
-all other columns pass through, and columns named as outputs are replaced.
+Every rule compares one figure of a text with a cutoff. The cutoffs aren't set by hand:
+
+* The labelled documents are split by a hash of their ids. On a quarter, the design part, each cutoff of each rule is
+  judged by itself; those that reject more bad documents than the rule's last one make a path, the cutoffs that reject
+  the fewest good documents first. Along the path the rules taken so far reject more and more.
+* On the rest, the holdout, each stratum (here a language) goes along the path as far as is safe. A step is safe if the
+  exact binomial test rejects "more than ``alpha`` of the stratum's good documents are rejected by any rule so far"; the
+  test stops at the first step that isn't (fixed-sequence testing). The error level ``delta`` is divided by the number of
+  strata (Bonferroni).
+
+So with probability 1 - ``delta``, in no stratum do the rules together reject more than ``alpha`` of the good documents. A
+stratum with too few labelled good documents rejects nothing.
+
+Strata are as many as there are values, null included; the table of strata is broadcast if it has at most
+``BROADCAST_STRATA`` rows and else joined, salted; the result is the same.
+
+Defined results: null and empty texts have no words and fail the base rule; a document counts as labelled good if any
+label row of its id says so, and each labelled document row counts once; without labels only the base rule acts; equal
+rows get equal results; an empty table gives an empty table; all other columns pass through, and columns named as outputs
+are replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from pixelloom.llm.support import ASCII_UPPER, SPACE_CHARS, bind, fresh, once, word_array
-from pixelloom.session import cut
+from pixelloom.session import cut, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-ALPHA, DELTA, MAX_STRATA = 0.02, 0.05, 64
+ALPHA, DELTA = 0.02, 0.05
+BROADCAST_STRATA, SALTS = 10_000, 32
+#: Ids whose MD5 (of the id as text, in hexadecimal) begins so are in the design part.
+DESIGN = "0123"
 #: Cutoffs of each rule, laxest first; a text is rejected if its figure is above the cutoff.
 GRIDS: dict[str, list[float]] = {
     "symbol_share": [3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05],
@@ -48,10 +55,18 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     Windows are compared by a 64-bit hash. Only where two are equal are hashes sorted with their
     positions, so the cost is n log n for texts of any length."""
     n = F.size(words)
-    hashes = F.when(
-        n >= width,
-        F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get(words, i + m) for m in range(width)))),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(w: Column) -> Column:
+        """Hashes of runs of 1, 2, 4 ... words, put together to ``width``: few function calls for each word."""
+        have, size = w, 1
+        while size < width:
+            step = min(size, width - size)
+            part = F.slice(have, F.lit(1), n - size - step + 1)
+            have = F.zip_with(part, F.slice(have, F.lit(step + 1), n - size - step + 1), lambda a, b: F.xxhash64(a, b))
+            size += step
+        return have
+
+    hashes = F.when(n >= width, windows(words)).otherwise(F.array().cast("array<bigint>"))
 
     def covered(h: Column) -> Column:
         sorted_pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -80,7 +95,7 @@ def _without(text: Column, chars: str) -> Column:
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts of the base rule and the figure of each rule to every row."""
     df = df.drop(*COUNTS, *GRIDS, "base_failed")
-    t, words, lines = fresh(df, "whole", "words", "lines")
+    t, words, lines, n_lines, upper, shouts = fresh(df, "whole", "words", "lines", "n_lines", "upper", "shouts")
     body = F.col(t)
     out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
     out = once(out, **{words: word_array(body), lines: F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)})
@@ -91,23 +106,25 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         n_symbols=(F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
         n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         n_repeat_words=repeated_words(F.col(words)),
-        _n_lines=F.size(lines),
-        _upper=(F.length(body) - F.length(_without(body, ASCII_UPPER))).cast("double"),
-        _shouts=(F.length(body) - F.length(_without(body, "!"))).cast("double"),
+        **{
+            n_lines: F.size(lines),
+            upper: (F.length(body) - F.length(_without(body, ASCII_UPPER))).cast("double"),
+            shouts: (F.length(body) - F.length(_without(body, "!"))).cast("double"),
+        },
     )
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     out = out.withColumns(
         {
             "symbol_share": per_word("n_symbols"),
-            "shout_share": per_word("_shouts"),
-            "upper_share": F.col("_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
+            "shout_share": per_word(shouts),
+            "upper_share": F.col(upper) / F.greatest(F.col("word_chars"), F.lit(1)),
+            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col(n_lines), F.lit(1)),
             "repeat_share": per_word("n_repeat_words"),
             "long_words": per_word("word_chars"),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
     )
-    return out.drop(t, words, lines, "_n_lines", "_upper", "_shouts")
+    return out.drop(t, words, lines, n_lines, upper, shouts)
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -130,66 +147,78 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top + F.log(ratio))))
 
 
-def certified(figures: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> list[tuple]:
-    """(stratum, rule, cutoff) of every stratum and rule, the cutoff None if none is safe; stratum None is the shared one. At most (MAX_STRATA + 1) x rules rows."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
-    holdout = figures.join(good, figures["doc_id"] == good["_good"], "left_semi")
-    # Counts by stratum of good rows and, for each rule and cutoff, of those that it would reject.
-    per_lang = holdout.groupBy(F.col(stratum).cast("string").alias("s")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *(F.sum((F.col(r) > c).cast("long")).alias(f"{r}:{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)),
-    )
-    largest = per_lang.where("s is not null").orderBy(F.desc("n"), "s").limit(MAX_STRATA).select(F.col("s").alias("top"))
-    counts = (
-        per_lang.join(F.broadcast(largest), F.col("s") == F.col("top"), "left")
-        .groupBy("top")
-        .agg(F.sum("n").alias("n"), *(F.sum(f"`{r}:{i}`").alias(f"{r}:{i}") for r, grid in GRIDS.items() for i in range(len(grid))))
-    )
-    tests = counts.select(
-        "top",
-        "n",
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(float(c)).alias("cutoff"), F.col(f"`{r}:{i}`").alias("k")) for r, grid in GRIDS.items() for i, c in enumerate(grid)))).alias("t"),
-    ).select("top", "n", "t.*")
-    tests = tests.withColumn("n_tests", F.size(F.collect_set(F.struct("top", "rule")).over(W.partitionBy(F.lit(1)))))
-    safe = tests.withColumn("safe", (F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("n_tests")))
-    in_turn = W.partitionBy("top", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    safe = safe.withColumn("all_so_far", F.min("safe").over(in_turn))
-    best = safe.groupBy("top", "rule").agg(F.max_by("cutoff", F.when(F.col("all_so_far"), F.col("i"))).alias("cutoff"))
-    return [(r["top"], r["rule"], r["cutoff"]) for r in best.orderBy("top", "rule").collect()]
-
-
-def verdict(cutoffs: list[tuple], stratum: str = "lang") -> Column:
-    """Whether a measured row passes the base rule and every cutoff of its stratum."""
-    by_stratum: dict = {}
-    for s, rule, c in cutoffs:
-        by_stratum.setdefault(s, {})[rule] = float("inf") if c is None else c
+def _marked(figures: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """(none, s, good, design, *rules) of the labelled rows: whether the stratum is null, the stratum, and whether the row is good."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("of")).agg((F.max("quality") == 1).alias("good"))
     own = F.col(stratum).cast("string")
-    limits = {}
+    design = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1).isin(*DESIGN)
+    rows = figures.select("doc_id", own.isNull().alias("none"), F.coalesce(own, F.lit("")).alias("s"), *GRIDS)
+    return rows.join(marks, rows["doc_id"] == marks["of"]).select("none", "s", "good", design.alias("design"), *GRIDS)
+
+
+def path_of(marked: DataFrame) -> list[tuple[str, float]]:
+    """The steps (rule, cutoff) in the order in which strata go along them: a choice among a fixed list, from one row of counts."""
+    steps = [(rule, i, float(c)) for rule, grid in GRIDS.items() for i, c in enumerate(grid)]
+    over = lambda rule, c, good: F.sum((F.col(rule).__gt__(c) & (F.col("good") == good)).cast("long"))
+    counts = marked.where("design").agg(*(over(r, c, good).alias(f"{r}:{i}:{int(good)}") for r, i, c in steps for good in (True, False))).first()
+    order = list(GRIDS)
+    found = []
+    for rule, i, c in steps:
+        bad, before = (counts[f"{rule}:{j}:0"] or 0 if j >= 0 else 0 for j in (i, i - 1))
+        if bad > before:
+            found.append((counts[f"{rule}:{i}:1"], i, order.index(rule), rule, c))
+    return [(rule, c) for *_, rule, c in sorted(found)]
+
+
+def first_step(path: list[tuple[str, float]]) -> Column:
+    """The number, from 1, of the first step of the path that rejects a row; null if none does."""
+    chains = []
     for rule in GRIDS:
-        shared = by_stratum.get(None, {}).get(rule)
-        limit = F.lit(shared).cast("double")
-        if named := [s for s in by_stratum if s is not None]:
-            table = F.create_map(*(x for s in named for x in (F.lit(s), F.lit(by_stratum[s].get(rule, float("inf"))))))
-            limit = F.coalesce(F.element_at(table, F.coalesce(own, F.lit(""))), limit)
-        limits[rule] = limit
-    passes = F.lit(True)
-    for rule, limit in limits.items():
-        passes = passes & ~F.coalesce(F.col(rule) > limit, F.lit(False))
-    return ~F.col("base_failed") & passes
-
-
-def _figures(docs: DataFrame, text: str, stratum: str) -> DataFrame:
-    """The figures of all rows without their texts, checkpointed: a few numbers a row, so that no later join carries texts."""
-    return cut(measured(docs.select("doc_id", text, stratum), text).drop(text))
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Adds counts, figures and ``kept`` to every row; the rest of the row stays."""
-    cutoffs = certified(_figures(docs, text, stratum), labels, stratum)
-    return measured(docs, text).withColumn("kept", verdict(cutoffs, stratum))
-
-
-def quality_report(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The verdicts without the texts, from figures that are made once."""
-    figures = _figures(docs, text, stratum)
-    return figures.withColumn("kept", verdict(certified(figures, labels, stratum), stratum)).select("doc_id", *COUNTS, "base_failed", "kept")
+        chain = None
+        for n, (r, c) in enumerate(path, 1):
+            if r == rule:
+                chain = F.when(F.col(rule) > c, F.lit(n)) if chain is None else chain.when(F.col(rule) > c, F.lit(n))
+        if chain is not None:
+            chains.append(chain)
+    return F.least(*chains) if len(chains) > 1 else chains[0] if chains else F.lit(None).cast("int")
+
+
+def safe_steps(marked: DataFrame, path: list[tuple[str, float]], alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(none, s, n, steps) of every stratum of the holdout: its good documents, and how many steps of the path are safe."""
+    good = marked.where("good and not design").select("none", "s", first_step(path).alias("at"))
+    rejected = [F.sum((F.col("at") <= n).cast("long")) for n in range(1, len(path) + 1)]
+    counts = good.groupBy("none", "s").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.coalesce(k, F.lit(0).cast("long")) for k in rejected)).cast("array<bigint>").alias("rejected"))
+    counts = counts.withColumn("strata", F.count(F.lit(1)).over(W.partitionBy()))
+    tests = counts.select("none", "s", "n", "strata", F.posexplode_outer("rejected").alias("before", "k"))
+    safe = tests.select("none", "s", "n", "before", (binomial_tail(F.col("k"), F.col("n"), alpha) <= F.lit(delta) / F.col("strata")).alias("safe"))
+    # The steps before the first that isn't safe.
+    return safe.groupBy("none", "s", "n").agg(F.coalesce(F.min(F.when(~F.col("safe"), F.col("before"))), F.lit(len(path))).alias("steps"))
+
+
+def _judged(rows: DataFrame, marked: DataFrame, stratum: str, alpha: float, delta: float) -> DataFrame:
+    """Adds ``kept`` to rows with figures."""
+    path = path_of(marked)
+    at, steps, none, s, salt, place = fresh(rows, "at", "steps", "none", "s", "salt", "place")
+    table = cut(safe_steps(marked, path, alpha, delta).where("steps > 0").select(F.col("none").alias(none), F.col("s").alias(s), F.col("steps").alias(steps)))
+    own = F.col(stratum).cast("string")
+    same = (own.isNull() == F.col(none)) & (F.coalesce(own, F.lit("")) == F.col(s))
+    if table.count() <= BROADCAST_STRATA:
+        joined = rows.join(F.broadcast(table), same, "left").drop(none, s)
+    else:
+        table = table.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(SALTS)).cast("int"))
+        joined = salted.join(table, same & (F.col(salt) == F.col(place)), "left").drop(none, s, salt, place)
+    rejected = F.coalesce(first_step(path) <= F.col(steps), F.lit(False))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop(at, steps)
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Adds counts, figures and ``kept`` to every row; the rest of the row stays. Figures are made once and stored with the rows."""
+    rows = stored(measured(docs.drop("kept"), text), "measured")
+    return _judged(rows, cut(_marked(rows, labels, stratum)), stratum, alpha, delta)
+
+
+def quality_report(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The verdicts without the texts: a few numbers a row are checkpointed, so that no join carries texts."""
+    figures = cut(measured(docs.select("doc_id", text, stratum), text).drop(text))
+    return _judged(figures, cut(_marked(figures, labels, stratum)), stratum, alpha, delta).select("doc_id", *COUNTS, "base_failed", "kept")

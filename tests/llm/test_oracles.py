@@ -8,8 +8,7 @@ import pytest
 from pixelloom.llm.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name, sf", [*((n, sf) for n in sorted(ORACLES) for sf in ("sf0.001", "sf0.01")), ("op10_quality_rules", "sf0.1")])
 def test_twin(spark, name, sf):
     folder = f"/root/testdata/{sf}"
     con = duckdb.connect()
@@ -21,3 +20,8 @@ def test_twin(spark, name, sf):
     got = QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(cursor.fetchall())
+
+
+def test_cutoffs_bind(spark):
+    """The larger twin compares more than the base rule."""
+    assert QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.1").where("not kept and not base_failed").count() > 300

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from pixelloom.llm.quality_rules import COUNTS, binomial_tail, certified, measured, quality_report, quality_rules, verdict
+from pixelloom.llm import quality_rules as qr
+from pixelloom.llm.quality_rules import COUNTS, binomial_tail, measured, path_of, quality_report, quality_rules, safe_steps
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -59,7 +60,55 @@ def test_cutoffs_are_safe_and_reject_junk(spark):
 def test_no_labels_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k", None), (2, "a ### ###", "en"), (None, None, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert certified(measured(docs), labels) == []
+    marked = qr._marked(measured(docs), labels, "lang")
+    assert path_of(marked) == [] and safe_steps(marked, []).collect() == []
     assert sorted(r.kept for r in quality_rules(docs, labels).collect()) == [False, False, True]
     assert quality_report(docs.limit(0), labels).count() == 0
-    assert measured(docs).select(verdict([("en", "symbol_share", 0.5)]).alias("kept")).count() == 3
+
+
+def exact_tail(k, n, p):
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_guarantee_is_for_all_rules_together_in_each_stratum(spark):
+    """Against brute force: strata go along the path as far as the union's exact test allows."""
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(6000):
+        good, lang = rng.random() < 0.6, rng.choice(["aa"] * 5 + ["bb"] * 3 + [None] * 2 + ["cc"] * 2 + ["few"] * (i % 20 == 0))
+        words = [str(rng.randint(0, 10**6)) for _ in range(20)]
+        # Every kind of junk is in good documents too, more often in some strata; each kind alone stays below the limit in "bb".
+        kind = rng.randrange(3) if not good or rng.random() < {"aa": 0.004, "bb": 0.036, "cc": 0.0}.get(lang, 0.012) else None
+        if kind is not None:
+            words = [[w + "###" for w in words], [w + "!!!" for w in words], [w.replace("1", "A").replace("2", "BCDEF") + "XYZ" for w in words]][kind]
+        rows.append((i, " ".join(words), lang))
+        labels.append((i, int(good)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    marked = qr._marked(measured(docs), marks, "lang").cache()
+    path = path_of(marked)
+    assert len({rule for rule, _ in path}) >= 3
+    held = [r for r in marked.collect() if r.good and not r.design]
+    strata, want = {(r.none, r.s) for r in held}, {}
+    for key in strata:
+        own = [r for r in held if (r.none, r.s) == key]
+        steps = 0
+        while steps < len(path) and exact_tail(sum(any(r[rule] > c for rule, c in path[: steps + 1]) for r in own), len(own), qr.ALPHA) <= qr.DELTA / len(strata):
+            steps += 1
+        want[key] = steps
+    assert {(r.none, r.s): r.steps for r in safe_steps(marked, path).collect()} == want
+    assert want[False, "cc"] == len(path) and want[False, "few"] == 0 and want[False, "bb"] < len(path)
+    kept = {r.doc_id: r.kept for r in quality_report(docs, marks).collect()}
+    figures = {r.doc_id: r for r in measured(docs).collect()}
+    for i, _, lang in rows:
+        steps = want[lang is None, lang or ""]
+        assert kept[i] == (not figures[i].base_failed and not any(figures[i][rule] > c for rule, c in path[:steps]))
+
+
+def test_many_strata_are_joined_like_few(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(20)) + " #" * 60 * (i % 4 == 0), f"s{i % 3}" if i % 3 else None, 1, 2, 3) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _n_lines int, steps int, kept int")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(3000)], "doc_id long, quality int")
+    few = sorted(quality_rules(docs, labels).collect())
+    monkeypatch.setattr(qr, "BROADCAST_STRATA", 0)
+    assert sorted(quality_rules(docs, labels).collect()) == few
+    assert all(r.kept == (r.doc_id % 4 > 0) and (r["_n_lines"], r["steps"]) == (1, 2) for r in few)
