@@ -28,10 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pixelloom.llm.support import ASCII_UPPER, SPACE_CHARS, bind, fresh, once, word_array
+from pixelloom.llm.support import SPACE_CLASS, bind, fresh, once, word_array
 from pixelloom.session import cut, stored
 
-SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 ALPHA, DELTA = 0.02, 0.05
 BROADCAST_STRATA, SALTS = 10_000, 32
@@ -56,14 +55,16 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     positions, so the cost is n log n for texts of any length."""
     n = F.size(words)
 
+    def joined(step: int, count: Column):
+        """Hashes of pairs of elements that are ``step`` apart."""
+        return lambda h: F.zip_with(F.slice(h, F.lit(1), count), F.slice(h, F.lit(step + 1), count), lambda a, b: F.xxhash64(a, b))
+
     def windows(w: Column) -> Column:
         """Hashes of runs of 1, 2, 4 ... words, put together to ``width``: few function calls for each word."""
         have, size = w, 1
         while size < width:
             step = min(size, width - size)
-            part = F.slice(have, F.lit(1), n - size - step + 1)
-            have = F.zip_with(part, F.slice(have, F.lit(step + 1), n - size - step + 1), lambda a, b: F.xxhash64(a, b))
-            size += step
+            have, size = bind(have, joined(step, n - size - step + 1)), size + step
         return have
 
     hashes = F.when(n >= width, windows(words)).otherwise(F.array().cast("array<bigint>"))
@@ -88,8 +89,8 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return bind(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))).cast("long")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
@@ -98,18 +99,18 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     t, words, lines, n_lines, upper, shouts = fresh(df, "whole", "words", "lines", "n_lines", "upper", "shouts")
     body = F.col(t)
     out = df.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    out = once(out, **{words: word_array(body), lines: F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0)})
+    out = once(out, **{words: word_array(body), lines: F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS[1:]}"))})
     out = once(
         out,
         n_words=F.size(words).cast("long"),
-        word_chars=F.length(_without(body, SPACE_CHARS)).cast("long"),
-        n_symbols=(F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
+        word_chars=F.length(F.array_join(words, "")).cast("long"),
+        n_symbols=_found(body, "[#*$%&|<>]"),
         n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         n_repeat_words=repeated_words(F.col(words)),
         **{
             n_lines: F.size(lines),
-            upper: (F.length(body) - F.length(_without(body, ASCII_UPPER))).cast("double"),
-            shouts: (F.length(body) - F.length(_without(body, "!"))).cast("double"),
+            upper: _found(body, "[A-Z]").cast("double"),
+            shouts: (F.length(body) - F.length(F.replace(body, F.lit("!"), F.lit("")))).cast("double"),
         },
     )
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
