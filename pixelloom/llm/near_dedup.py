@@ -1,9 +1,12 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles are runs of five words. Their document frequencies are counted over all documents in a table
-   of ``DF_CELLS`` hash cells, a fixed size, so the table can be sent to every task. A shingle's weight is
-   its count in the text times a damped inverse document frequency between 1 and 1 + ``DAMPING``: a
-   stronger one would let a large group of near copies devalue the very shingles that its members share.
+1. Shingles are runs of five words. A shingle's weight is its count in the text times a damped inverse document
+   frequency, 1 + ``DAMPING`` x min(1, log(N / df) / log(1 / ``FREQUENT``)): from 1, for a shingle of every document, up
+   to 1 + ``DAMPING``, for those of a share below ``FREQUENT`` of all. Without damping a large group of near copies would
+   devalue the very shingles that its members share. Document frequencies are exact: sums over hash cells tell which
+   cells can hold a frequent shingle, and in these each shingle's documents are counted. Frequent shingles are at most
+   1 / ``FREQUENT`` times a document's mean number of shingles, however many documents there are, so their table can be
+   sent to every task.
 2. Improved consistent weighted sampling: for each of K samples a shingle draws r, c ~ Gamma(2, 1) and
    beta ~ U(0, 1); with t = floor(ln w / r + beta) its value is ln a = ln c - r (t - beta) - r, and the
    shingle of least value, with its t, is the sample. Two texts agree in a sample with a probability equal
@@ -24,6 +27,10 @@
 6. Similar pairs are links; classes are the connected components of links and equal texts, found by
    passing on the least label along links, with checkpoints.
 
+Any bucket, leader, text, class or hub may be that of a third of all rows. Joins on them go through ``spread_join``: keys of
+more rows than a shuffle partition's half share are few, so what they look up is broadcast; a leader's text goes to as
+many places as its members fill; a shingle's places meet in blocks.
+
 Exact copies are one node throughout: nodes are hashes of texts (64 bits).
 
 Defined results: null and empty texts are equal texts; a text of one to four words has one shingle, all
@@ -42,14 +49,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.support import fresh, small_batches
+from pixelloom.llm.support import fresh, share_of_partition, small_batches, spread_join
 from pixelloom.llm.text_arrays import bounded_batches, counted, mix, segments, shingles_of, text_bytes, words_of
 from pixelloom.session import cut, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
-LEADERS, REFINEMENTS, SALTS = 4, 5, 32
-DF_CELLS, DAMPING, LEVELS = 1 << 18, 0.25, 8
+LEADERS, REFINEMENTS, BLOCK = 4, 5, 500
+DF_CELLS, FREQUENT, DAMPING, LEVELS = 1 << 19, 0.01, 0.25, 8
 #: Classes of weight for the exact join: each reaches up to so many times its least weight.
 WEIGHT_STEP = 1.05
 _VARIATES = 1 << 16
@@ -83,12 +90,48 @@ def cell_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return sums
 
 
-def frequency_levels(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """For each hash cell, the level 0 .. LEVELS - 1 of the damped inverse document frequency of its shingles."""
+class Frequencies:
+    """Levels 0 .. LEVELS - 1 of the damped inverse document frequency: of each frequent shingle; all others have the last."""
+
+    def __init__(self, total: float, elements: np.ndarray, counts: np.ndarray):
+        order = np.argsort(elements)
+        self.elements = elements[order]
+        rarity = np.minimum(1.0, np.log(np.maximum(1.0, total / counts[order])) / np.log(1.0 / FREQUENT))
+        self.levels = np.round(rarity * (LEVELS - 1)).astype(np.uint8)
+        self.cells = np.zeros(DF_CELLS, dtype=bool)
+        self.cells[(elements & np.uint64(DF_CELLS - 1)).astype(np.int64)] = True
+
+    def level(self, element: np.ndarray) -> np.ndarray:
+        out = np.full(len(element), LEVELS - 1, dtype=np.uint8)
+        maybe = np.flatnonzero(self.cells[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.elements, element[maybe]), len(self.elements) - 1)
+            found = self.elements[at] == element[maybe]
+            out[maybe[found]] = self.levels[at[found]]
+        return out
+
+    def weight(self, element: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return count * _idf(self.level(element))
+
+
+def frequencies(docs: DataFrame, text: str, width: int) -> Frequencies:
+    """The document frequencies of all frequent shingles, counted exactly over all documents."""
     sums = cell_counts(docs, text, width)
-    total = max(2.0, sums[-1])
-    rarity = 1.0 - np.log1p(np.minimum(sums[:-1], total)) / np.log1p(total)
-    return np.round(rarity * (LEVELS - 1)).astype(np.uint8)
+    total = float(sums[-1])
+    least = max(2.0, FREQUENT * total)
+    possible = docs.sparkSession.sparkContext.broadcast(sums[:-1] >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches, text):
+            _, element, _ = document_shingles(batch.column(text), width)
+            found, n = np.unique(element[possible.value[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["element", "n"])
+
+    if not possible.value.any():
+        return Frequencies(total, np.empty(0, np.uint64), np.empty(0))
+    counts = docs.select(text).mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    table = counts.where(F.col("n") >= least).toPandas()
+    return Frequencies(total, table["element"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.float64))
 
 
 def _idf(level: np.ndarray) -> np.ndarray:
@@ -162,7 +205,7 @@ def _buckets(docs: DataFrame, text: str, levels, width: int, rows: int, bands: i
             if not len(doc):
                 continue
             docs_in, begins = segments(doc)
-            level = table[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)]
+            level = table.level(element)
             keys = band_keys(sampler.signatures(element, count, level, begins), rows).T.copy().view(np.int64)
             n, per = keys.shape
             common = -np.add.reduceat(level.astype(np.float64), begins) / np.diff(np.append(begins, len(doc)))
@@ -173,10 +216,21 @@ def _buckets(docs: DataFrame, text: str, levels, width: int, rows: int, bands: i
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> DataFrame:
-    """Adds the exact weighted Jaccard similarity to pairs (a, b, a_led, b_led) of nodes."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_led", "b_led", "text_a", "text_b")
+    """Adds the exact weighted Jaccard similarity to pairs (a, b, a_led, b_led) of nodes.
+
+    The text of one side, the leader's if there is one, goes to as many places as its pairs fill."""
+    pairs = cut(pairs.withColumn("hub", F.when(F.col("a_led") | ~F.col("b_led"), F.col("a")).otherwise(F.col("b"))))
+    pairs = pairs.withColumn("spoke", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    of_hub = cut(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
+    share = share_of_partition(of_hub, "n")
+    of_hub = of_hub.select("hub", F.ceil(F.col("n") / share).cast("int").alias("places"))
+    many = of_hub.where("places > 1").select(F.col("hub").alias("many"), F.col("places").alias("among"))
+    placed = pairs.join(F.broadcast(many), F.col("hub") == F.col("many"), "left")
+    placed = placed.withColumn("place", F.pmod(F.xxhash64("spoke"), F.coalesce("among", F.lit(1))).cast("int")).drop("many", "among")
+    hubs = of_hub.join(texts, F.col("hub") == F.col("node")).select(F.col("hub").alias("of"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), F.col("text").alias("text_hub"))
+    spokes = texts.select(F.col("node").alias("spoke"), F.col("text").alias("text_spoke"))
+    both = placed.join(spokes, "spoke").join(hubs, (F.col("hub") == F.col("of")) & (F.col("place") == F.col("at")))
+    both = both.select("a", "b", "a_led", "b_led", "hub", "text_hub", "text_spoke")
     names = ["a", "b", "a_led", "b_led"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +239,17 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
 
         def weighted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
             doc, element, count = document_shingles(texts, width)
-            weight = count * _idf(table[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
+            weight = table.weight(element, count)
             bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
             return [(element[i:j], weight[i:j]) for i, j in zip(bounds, bounds[1:])]
 
-        for outer in bounded_batches(batches, "text_a"):
-            for batch in bounded_batches([outer], "text_b"):
-                nodes = batch.column("a").to_pylist()
+        for outer in bounded_batches(batches, "text_hub"):
+            for batch in bounded_batches([outer], "text_spoke"):
+                nodes = batch.column("hub").to_pylist()
                 new = {n: i for i, n in enumerate(nodes) if n not in memory}
-                own = dict(zip(new, weighted(batch.column("text_a").take(pa.array(list(new.values()), pa.int64())))))
+                own = dict(zip(new, weighted(batch.column("text_hub").take(pa.array(list(new.values()), pa.int64())))))
                 found = []
-                for n, (e, w) in zip(nodes, weighted(batch.column("text_b"))):
+                for n, (e, w) in zip(nodes, weighted(batch.column("text_spoke"))):
                     e0, w0 = own[n] if n in own else memory[n]
                     _, i, j = np.intersect1d(e0, e, assume_unique=True, return_indices=True)
                     shared = float(np.minimum(w0[i], w[j]).sum())
@@ -225,7 +279,7 @@ def _required(rest: DataFrame, levels, width: int, similarity: float) -> DataFra
                 continue
             node, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
             cell = (element & np.uint64(DF_CELLS - 1)).astype(np.int64)
-            weight = count * _idf(table[cell])
+            weight = table.weight(element, count)
             order = np.lexsort((element, seen[cell], doc))
             doc, element, weight, often = doc[order], element[order], weight[order], seen[cell][order]
             whole = np.bincount(doc, weight, minlength=batch.num_rows)
@@ -256,18 +310,22 @@ def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: Dat
     known = components(tested.where(F.col("similarity") >= similarity)).withColumnRenamed("node", "k")
     labelled = cut(state.select("node").join(known, F.col("node") == F.col("k"), "left").select("node", F.coalesce("label", "node").alias("label")))
     mates = unled.join(labelled, "node")
-    mixed = mates.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("bucket")
-    rest = mates.join(mixed, "bucket", "left_semi").select("node", "label").distinct()
+    mixed = mates.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("bucket", "n")
+    rest = spread_join(mates, mixed, "bucket").select("node", "label").distinct()
     rest = stored(rest.join(texts, "node"), "left-over")
     places = stored(_required(rest, levels, width, similarity), "places")
-    meet = places.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    places = cut(places.join(meet, "key", "left_semi"))
-    x = places.where("low").select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "weight", "left", "high")))
-    y = places.where("high").select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "weight", "left")))
+    meet = places.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("key", "n")
+    # The places of a shingle meet in blocks, every block of one side with every block of the other.
+    places = cut(spread_join(places, meet, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
+    places = places.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = lambda side, columns: [F.col(c).alias(f"{c}_{side}") for c in columns]
+    x = places.where("low").select(*of("x", ("key", "own", "other", "node", "label", "weight", "left", "high")))
+    y = places.where("high").select(*of("y", ("key", "own", "other", "node", "label", "weight", "left")))
     common = F.lit(similarity / (1.0 + similarity) * (1 - 1e-9)) * (F.col("weight_x") + F.col("weight_y"))
     enough = F.least("left_x", "left_y") >= common
     once = ~F.col("high_x") | (F.col("node_x") < F.col("node_y"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("label_x") != F.col("label_y")) & once & enough)
+    same = (F.col("key_x") == F.col("key_y")) & (F.col("own_x") == F.col("other_y")) & (F.col("other_x") == F.col("own_y"))
+    met = x.join(y, same & (F.col("label_x") != F.col("label_y")) & once & enough)
     no = F.lit(False)
     pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", no.alias("a_led"), no.alias("b_led"))
@@ -277,10 +335,10 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
     """(a, b, similarity): verified links between nodes of different texts, a < b; each class is connected by them."""
     spark = docs.sparkSession
     small_batches(spark)
-    levels = spark.sparkContext.broadcast(frequency_levels(docs, text, width))
+    levels = spark.sparkContext.broadcast(frequencies(docs, text, width))
     nodes = stored(_buckets(docs, text, levels, width, rows, bands).dropDuplicates(["node"]), "signatures")
     shared = nodes.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    central = nodes.select("node", F.explode("keys").alias("bucket")).join(shared, "bucket").groupBy("node").agg(F.sum("n").alias("central"))
+    central = spread_join(nodes.select("node", F.explode("keys").alias("bucket")), shared, "bucket").groupBy("node").agg(F.sum("n").alias("central"))
     state = cut(nodes.join(central, "node").select("node", "keys", "central", "common", F.lit(True).alias("open"), F.lit(False).alias("led")))
     # Of equal texts, one row is fetched.
     ids = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -297,10 +355,10 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         top = F.struct((~F.col("led")).alias("fresh"), "central", "common", "node")
         of_class = [F.max(F.when(F.pmod("node", F.lit(LEADERS)) == c, top))["node"].alias(f"l{c}") for c in range(LEADERS)]
         lead = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), *of_class).where("n > 1 and any_open")
-        lead = lead.select("bucket", "n", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders"))
-        compared = members.where("open").select("node", "bucket").join(lead, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
+        lead = cut(lead.select("bucket", "n", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders")))
+        compared = spread_join(members.where("open").select("node", "bucket"), lead, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
         if unled is None:
-            unled = stored(members.join(lead.where("n > 2"), "bucket").where(~F.array_contains("leaders", F.col("node"))).select("node", "bucket"), "unled")
+            unled = stored(spread_join(members, lead.where("n > 2"), "bucket").where(~F.array_contains("leaders", F.col("node"))).select("node", "bucket"), "unled")
         low = F.least("node", "leader")
         pairs = compared.groupBy(low.alias("a"), F.greatest("node", "leader").alias("b")).agg(F.max(F.col("leader") == low).alias("a_led"), F.max(F.col("leader") != low).alias("b_led"))
         if tested is not None:
@@ -322,43 +380,42 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, by passing on least labels and jumping to their labels."""
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("label")))
+    # n: how many links ask for the label of a node.
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "near").alias("label"), "n"))
     while True:
-        offered = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
-        near = labels.union(offered).groupBy("node").agg(F.min("label").alias("label"))
-        # A label may be that of a third of all nodes: its own label is looked up in SALTS places.
-        near = cut(near)
-        jump = near.select("label").distinct().select(F.col("label").alias("at")).join(near, F.col("at") == F.col("node")).select("at", F.col("label").alias("further"))
-        jump = jump.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = near.withColumn("own_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        new = cut(salted.join(jump, (F.col("label") == F.col("at")) & (F.col("own_salt") == F.col("salt"))).select("node", F.col("further").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old")
+        offered = spread_join(both, labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label", F.lit(0).cast("long").alias("n"))
+        near = cut(labels.union(offered).groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n")))
+        asked = near.groupBy(F.col("label").alias("at")).agg(F.count(F.lit(1)).alias("asked"))
+        jump = asked.join(near, F.col("at") == F.col("node")).select(F.col("at").alias("label"), F.col("label").alias("further"), F.col("asked"))
+        new = cut(spread_join(near, jump, "label", "asked").select("node", F.col("further").alias("label"), "n"))
+        changed = new.join(labels.select(F.col("node").alias("o"), F.col("label").alias("old")), F.col("node") == F.col("o")).where("label <> old")
         if changed.isEmpty():
-            return new
+            return new.select("node", "label")
         labels = new
 
 
 def classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """(node, class_node, class_id) of every distinct text."""
+    """(node, class_node, class_id, least, copies) of every distinct text."""
     label = components(links(docs, text, **options))
-    nodes = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = nodes.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node")).drop("label")
-    ids = labelled.groupBy("class_node").agg(F.min("least").alias("class_id"))
-    return cut(labelled.join(ids, "class_node").select("node", "class_node", "class_id", "least"))
+    nodes = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    labelled = cut(nodes.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node")).drop("label"))
+    ids = labelled.groupBy("class_node").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts"))
+    return cut(spread_join(labelled, ids, "class_node", "texts").select("node", "class_node", "class_id", "least", "copies"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row per document: doc_id and class_id."""
     of_text = classes(docs, text, **options)
     rows = docs.select("doc_id", _node(text).alias("node"))
-    return rows.join(of_text.select("node", "class_id"), "node").select("doc_id", "class_id")
+    return spread_join(rows, of_text.select("node", "class_id", "copies"), "node", "copies").select("doc_id", "class_id")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """One document of each class: the one of least id, nulls last."""
     of_text = classes(docs, text, **options)
-    best = of_text.groupBy("class_node").agg(F.min(F.struct(F.col("least").isNull(), F.col("least").alias("least"), F.col("node").alias("node"))).alias("best")).select("best.node", "best.least")
-    n, = fresh(docs, "node")
+    best = of_text.groupBy("class_node").agg(F.min(F.struct(F.col("least").isNull(), F.col("least").alias("least"), F.col("node").alias("node"))).alias("best"))
+    n, best_node, best_id = fresh(docs, "node", "best_node", "best_id")
+    best = best.select(F.col("best.node").alias(best_node), F.col("best.least").alias(best_id))
     keyed = docs.withColumn(n, _node(text))
-    kept = keyed.join(best.withColumnRenamed("node", "_best_node"), (keyed[n] == F.col("_best_node")) & keyed["doc_id"].eqNullSafe(F.col("least")), "left_semi")
+    kept = keyed.join(best, (F.col(n) == F.col(best_node)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi")
     return kept.dropDuplicates(["doc_id", n]).select(*docs.columns)

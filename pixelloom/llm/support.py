@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.session import ship, table
+from pixelloom.session import cut, ship, table
 
 #: White space of the word rule, for a character class and as the characters themselves.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -62,3 +62,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+LEAST_SHARE = 2000
+
+
+def share_of_partition(counts: DataFrame, n: str) -> int:
+    """Half of the rows that a shuffle partition holds if ``n`` rows of each key are dealt evenly. Keys of more rows are at
+    most twice as many as there are partitions."""
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SHARE, (counts.agg(F.sum(n)).first()[0] or 0) // (2 * partitions))
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """The inner join of many rows with ``found``, which has one row a key and, in ``n``, how many rows ask for it.
+
+    What is asked for most often is broadcast, at most twice as many rows as there are partitions, so no task gets the rows
+    of a hot key; the rest is joined by a shuffle."""
+    found = cut(found)
+    share = share_of_partition(found, n)
+    hot = F.broadcast(found.where(F.col(n) > share))
+    cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(n) <= share), key)
+    return rows.join(hot, key).unionByName(cold)

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 from pixelloom.llm import near_dedup as nd
-from pixelloom.llm.near_dedup import DF_CELLS, Sampler, _idf, components, document_shingles, frequency_levels, links, near_classes, near_dedup
+from pixelloom.llm import support
+from pixelloom.llm.near_dedup import LEVELS, Sampler, _idf, components, document_shingles, frequencies, links, near_classes, near_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,8 +90,20 @@ def test_shingles_and_frequencies(spark):
     assert dict(per) == {2: 2, 3: 2, 4: 1, 5: 1} and count[doc == 5].tolist() == [4]
     assert element[doc == 2].tolist() == element[doc == 3].tolist()
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    levels = frequency_levels(df, "text", 5)
-    assert levels[int(element[0]) & (DF_CELLS - 1)] < levels[int(element[-1]) & (DF_CELLS - 1)] <= 7
+    level = frequencies(df, "text", 5).level(element)
+    assert level[0] < level[-1] == LEVELS - 1
+
+
+def test_frequencies_are_exact(spark):
+    """Every shingle of at least two documents and a hundredth of all has its own frequency, and the others the last level."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 6}" for _ in range(60)) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    doc, element, _ = document_shingles(pa.array(texts), 5)
+    names, counts = np.unique(element, return_counts=True)
+    rarity = np.minimum(1, np.log(500 / counts) / np.log(1 / nd.FREQUENT))
+    want = np.where(counts >= max(2, nd.FREQUENT * 500), np.round(rarity * (LEVELS - 1)), LEVELS - 1)
+    assert len(set(want)) > 3 and (frequencies(df, "text", 5).level(names) == want).all()
 
 
 def test_large_group_of_near_copies_is_one_class(spark):
@@ -110,9 +123,8 @@ def test_large_group_of_near_copies_is_one_class(spark):
 def exact_classes(spark, texts):
     """The classes by the exact similarity of all pairs, with the operator's weights."""
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    table = frequency_levels(df, "text", 5)
     doc, element, count = document_shingles(pa.array(texts), 5)
-    weight = count * _idf(table[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
+    weight = frequencies(df, "text", 5).weight(element, count)
     names, column = np.unique(element, return_inverse=True)
     dense = np.zeros((len(texts), len(names)))
     dense[doc, column] = weight
@@ -188,3 +200,45 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60)], "a long, b long")
     got = {r.node: r.label for r in components(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50}
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """The same classes where every bucket, leader, text and hub counts as hot, and shingles meet in blocks of two."""
+    monkeypatch.setattr(support, "LEAST_SHARE", 1)
+    monkeypatch.setattr(nd, "BLOCK", 2)
+    texts = template_family(120, 15) + ["same text in many places " * 6] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_classes(df).collect()}
+    want = exact_classes(spark, texts[:120])
+    assert got == want | {i: 120 for i in range(120, 420)}
+
+
+def test_clashing_names(spark):
+    names = ["node", "best_node", "best_id", "_best_node", "least", "label", "n", "bucket", "copies", "class_id"]
+    df = spark.createDataFrame([(1, "a b c d e f", *range(10)), (2, "a b c d e f", *range(10)), (3, "x", *range(10))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted(map(tuple, near_dedup(df).collect())) == [(1, "a b c d e f", *range(10)), (3, "x", *range(10))]
+    assert sorted(map(tuple, near_classes(df).collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_recall_on_the_table(spark):
+    """Ids divisible by 50 against all rows, by plain weighted Jaccard similarity of five-word shingles."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()}
+    doc, element, count = document_shingles(pa.array([t for _, t in rows]), 5)
+    bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
+    size = np.bincount(doc, count, minlength=len(rows))
+    order = np.argsort(element, kind="stable")
+    ranked, found, similar = element[order], 0, 0
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id % 50:
+            continue
+        shared = np.zeros(len(rows))
+        for j in range(bounds[i], bounds[i + 1]):
+            at = order[slice(*np.searchsorted(ranked, [element[j]], "left"), *np.searchsorted(ranked, [element[j]], "right"))]
+            shared[doc[at]] += np.minimum(count[at], count[j])
+        near = np.flatnonzero(shared / np.maximum(1, size + size[i] - shared) >= 0.8)
+        near = near[near != i]
+        similar += len(near)
+        found += sum(got[rows[k][0]] == got[doc_id] for k in near)
+    print("recall", found, "of", similar)
+    assert similar > 50 and found >= 0.97 * similar
