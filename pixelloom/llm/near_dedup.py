@@ -55,7 +55,7 @@ from pixelloom.session import cut, stored
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
-LEADERS, REFINEMENTS, BLOCK = 4, 5, 500
+LEADERS, REFINEMENTS, BLOCK = 4, 3, 500
 DF_CELLS, FREQUENT, DAMPING, LEVELS = 1 << 19, 0.01, 0.25, 8
 #: Classes of weight for the exact join: each reaches up to so many times its least weight.
 WEIGHT_STEP = 1.05
@@ -222,11 +222,13 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
     pairs = cut(pairs.withColumn("hub", F.when(F.col("a_led") | ~F.col("b_led"), F.col("a")).otherwise(F.col("b"))))
     pairs = pairs.withColumn("spoke", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     of_hub = cut(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
-    share = share_of_partition(of_hub, "n")
+    share, any_hot = share_of_partition(of_hub, "n")
     of_hub = of_hub.select("hub", F.ceil(F.col("n") / share).cast("int").alias("places"))
-    many = of_hub.where("places > 1").select(F.col("hub").alias("many"), F.col("places").alias("among"))
-    placed = pairs.join(F.broadcast(many), F.col("hub") == F.col("many"), "left")
-    placed = placed.withColumn("place", F.pmod(F.xxhash64("spoke"), F.coalesce("among", F.lit(1))).cast("int")).drop("many", "among")
+    placed = pairs.withColumn("place", F.lit(0))
+    if any_hot:
+        many = of_hub.where("places > 1").select(F.col("hub").alias("many"), F.col("places").alias("among"))
+        placed = pairs.join(F.broadcast(many), F.col("hub") == F.col("many"), "left")
+        placed = placed.withColumn("place", F.pmod(F.xxhash64("spoke"), F.coalesce("among", F.lit(1))).cast("int")).drop("many", "among")
     hubs = of_hub.join(texts, F.col("hub") == F.col("node")).select(F.col("hub").alias("of"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("at"), F.col("text").alias("text_hub"))
     spokes = texts.select(F.col("node").alias("spoke"), F.col("text").alias("text_spoke"))
     both = placed.join(spokes, "spoke").join(hubs, (F.col("hub") == F.col("of")) & (F.col("place") == F.col("at")))

@@ -67,11 +67,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 LEAST_SHARE = 2000
 
 
-def share_of_partition(counts: DataFrame, n: str) -> int:
-    """Half of the rows that a shuffle partition holds if ``n`` rows of each key are dealt evenly. Keys of more rows are at
-    most twice as many as there are partitions."""
+def share_of_partition(counts: DataFrame, n: str) -> tuple[int, bool]:
+    """Half of the rows that a shuffle partition holds if ``n`` rows of each key are dealt evenly, and whether any key has
+    more. Such keys are at most twice as many as there are partitions."""
     partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(LEAST_SHARE, (counts.agg(F.sum(n)).first()[0] or 0) // (2 * partitions))
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    share = max(LEAST_SHARE, (total or 0) // (2 * partitions))
+    return share, (most or 0) > share
 
 
 def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> DataFrame:
@@ -80,7 +82,9 @@ def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> Da
     What is asked for most often is broadcast, at most twice as many rows as there are partitions, so no task gets the rows
     of a hot key; the rest is joined by a shuffle."""
     found = cut(found)
-    share = share_of_partition(found, n)
+    share, any_hot = share_of_partition(found, n)
+    if not any_hot:
+        return rows.join(found, key)
     hot = F.broadcast(found.where(F.col(n) > share))
     cold = rows.join(hot.select(key), key, "left_anti").join(found.where(F.col(n) <= share), key)
     return rows.join(hot, key).unionByName(cold)
