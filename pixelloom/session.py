@@ -30,13 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the cluster names none, as in tests."""
+    """The folder that driver and executors share. Set here only on a local master that names none, as in tests."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return named or current
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="pixelloom-")
     context.setCheckpointDir(named)
     return named
