@@ -32,7 +32,8 @@ from pixelloom.llm.text_arrays import bounded_batches
 
 #: Fixed value: the word pattern of byte-level BPE tokenizers. White space is the Unicode property.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-REMEMBERED = 400_000
+#: So many words and fragments of at most so many characters or bytes: about 100 MB a worker.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 #: Up to so many bytes, a plain search is faster than a heap.
 SHORT = 40
 NO_MERGE = 1 << 62
@@ -46,15 +47,17 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class _Memo(dict):
-    """A dictionary that computes what it lacks and starts anew when it is full."""
+    """A dictionary that computes what it lacks, remembers it if it is short, and starts anew when it is full."""
 
     def __init__(self, compute, limit: int):
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

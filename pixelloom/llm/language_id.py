@@ -10,7 +10,8 @@ Only letters count: other characters part the text. Texts are lower-cased by cha
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all if there is
 no labelled document; null langs are never learned; equal texts get equal results; an empty table gives an
-empty table; at most 64 languages are learned, the most frequent.
+empty table. Every language of the documents that may be learned from is learned: each has at least ``LEAST_A_MARK``
+rows of the sample, if it has so many, and two landmarks; the model grows with the number of languages alone.
 """
 
 from __future__ import annotations

@@ -2,8 +2,9 @@
 
 Normalised lines are hashed (MD5) and exploded, distinct documents are counted for each hash, and the
 texts are put together again by position. Counting uses one row per document and distinct key, with a
-partial count before the shuffle, so a line that is in every document costs one row per task. The texts
-are shuffled once, to meet the positions that they lose.
+partial count before the shuffle, so a line that is in every document costs one row per task. Lines that are
+found most often, a bounded number, are broadcast to their positions, the others meet them by a shuffle. The
+texts are shuffled once, to meet the positions that they lose.
 
 Defined results: every row is a document of its own, whatever its id; equal rows get equal results; a
 null or empty text is one empty line; empty keys are never dropped; a text that loses all its lines
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.support import ASCII_LOWER, ASCII_UPPER, SPACE_CHARS, fresh, once
+from pixelloom.llm.support import ASCII_LOWER, ASCII_UPPER, SPACE_CHARS, fresh, once, spread_join
 from pixelloom.session import cut
 
 MIN_KEY_CHARS, MIN_DOCUMENTS = 1, 10
@@ -49,9 +50,9 @@ def line_dedup(df: DataFrame, text: str = "text", min_chars: int = MIN_KEY_CHARS
     # Hashes are made once and checkpointed, 16 bytes a line, for both the count and the positions.
     hashed = cut(df.select(_row_key(df, text).alias(key), _hashes(F.col(text), min_chars).alias("hashes")))
     of_row = hashed.select(F.explode(F.array_compact(F.array_distinct("hashes"))).alias("hash"))
-    common = of_row.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("hash")
+    common = of_row.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents)
     at = hashed.select(key, F.posexplode("hashes").alias("pos", "hash")).where("hash is not null")
-    positions = at.join(common, "hash", "left_semi").groupBy(key).agg(F.collect_set("pos").alias(lost))
+    positions = spread_join(at, common, "hash").groupBy(key).agg(F.collect_set("pos").alias(lost))
     out = df.withColumn(key, _row_key(df, text)).join(positions, key, "left")
     out = once(out, **{lines: F.split(F.coalesce(F.col(text), F.lit("")), "\n")})
     kept = F.when(F.col(lost).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(

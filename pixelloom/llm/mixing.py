@@ -10,6 +10,8 @@ Only (source, length) counts reach the programme, one group per source, as many
 distinct lengths. Documents of one source and length may be a third of all rows: they are dealt into
 ``SALTS`` parts by their hash and ranked within the part in which the count ends, never as one group.
 
+Targets take one row a source in one task: sources are names of corpora, not URLs.
+
 Defined results: null and empty texts have size 0 and are taken 0 times or with a whole pass, in words
 0 either way; a null source is a source of its own, last in order; documents without an id take part,
 their text decides ties; of equal rows any may be taken; an empty table, or one without words, gives
@@ -28,7 +30,7 @@ from pixelloom.llm.support import fresh, word_count
 from pixelloom.session import cut, ship
 
 WEIGHTS, SHARE, MOST_PASSES, SEED, SALTS = (3, 1, 2), 1.5, 2, 11, 64
-#: The dynamic programme covers a remaining budget of so many words at most; what is above is filled greedily.
+#: The dynamic programme covers a remaining budget of so many words at most.
 PROGRAMME = 1 << 16
 
 
@@ -59,7 +61,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, programme: int = PROGRAMME) -> np.ndarray:
-    """How many documents of each length (ascending, positive) to take for a sum nearest to the budget."""
+    """How many documents of each length (ascending, positive) to take for a sum nearest to the budget.
+
+    Every length gives its even share; of what is left, more than ``programme`` words are filled by the longest documents
+    that fit; the rest is fitted exactly by the programme. It needs 5 bytes for each of 2 x programme sums, whatever the lengths."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -73,30 +78,31 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, programme:
         rest -= more * int(lengths[i])
     if rest <= 0:
         return taken
-    # Sums up to one largest length above the rest, so that the nearest sum above is known as well.
-    span = rest + int(lengths[-1]) + 1
-    reach = 1
-    mask = (1 << span) - 1
-    steps: list[tuple[int, int, int]] = []
-    for i in range(len(lengths)):
+    # A sum above twice the rest is further from it than none.
+    span = 2 * rest + 1
+    reach, first = np.zeros(span, dtype=bool), np.full(span, -1, dtype=np.int32)
+    reach[0] = True
+    steps: list[tuple[int, int]] = []
+    for i in range(int(np.searchsorted(lengths, span))):
         left, size = min(int(counts[i] - taken[i]), span // int(lengths[i])), 1
-        while left > 0:
+        while left > 0 and not reach[rest]:
             use = min(size, left)
-            grown = reach | (reach << (use * int(lengths[i]))) & mask
-            if grown != reach:
-                steps.append((i, use, reach))
-                reach = grown
+            moved = use * int(lengths[i])
+            if moved < span:
+                new = np.flatnonzero(reach[: span - moved] & ~reach[moved:]) + moved
+                # The step that first reaches a sum: what it adds to was reached before it.
+                reach[new] = True
+                first[new] = len(steps)
+                steps.append((i, use))
             left, size = left - use, size * 2
-        if reach >> rest & 1:
+        if reach[rest]:
             break
-    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> (rest + 1)
-    above = rest + 1 + (above & -above).bit_length() - 1 if above else None
-    goal = below if above is None or rest - below <= above - rest else above
-    for i, use, before in reversed(steps):
-        if not before >> goal & 1:
-            goal -= use * int(lengths[i])
-            taken[i] += use
+    sums = np.flatnonzero(reach)
+    goal = int(sums[np.argmin(np.abs(sums - rest))])
+    while goal:
+        i, use = steps[first[goal]]
+        taken[i] += use
+        goal -= use * int(lengths[i])
     return taken
 
 
@@ -147,15 +153,14 @@ def mix_plan(docs: DataFrame, text: str = "text", source: str = "source", weight
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    plan = mix_plan(docs, text, source, **options).where("times > 0").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t")).agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    h, = fresh(docs, "text_hash")
-    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col(h) == F.col("_t")))
-    # Rows of equal id and text share what was taken of them; with unique ids there is one row and no remainder.
-    same = W.partitionBy("doc_id", h).orderBy(source)
-    joined = joined.withColumns({"_rank": F.row_number().over(same), "_rows": F.count(F.lit(1)).over(W.partitionBy("doc_id", h))})
-    times = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_rank") <= F.col("_times") % F.col("_rows")).cast("long")
-    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    h, own, i, t, of, total, among, rank, copy = fresh(docs, "text_hash", "own_source", "i", "t", "of", "total", "among", "rank", "copy")
+    plan = mix_plan(docs, text, source, **options).groupBy(F.col("doc_id").alias(i), F.col("text_hash").alias(t), F.col("source").alias(of)).agg(F.sum("times").alias(total), F.count(F.lit(1)).alias(among))
+    keyed = docs.withColumns({h: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), own: F.col(source).cast("string")})
+    joined = keyed.join(plan.where(F.col(total) > 0), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)) & F.col(own).eqNullSafe(F.col(of)))
+    # Rows of equal id, text and source share what was taken of them; with unique ids there is one row and no remainder.
+    joined = joined.withColumn(rank, F.row_number().over(W.partitionBy("doc_id", h, own).orderBy(h)))
+    times = F.floor(F.col(total) / F.col(among)) + (F.col(rank) <= F.col(total) % F.col(among)).cast("long")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
 
 
 def mix_report(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:

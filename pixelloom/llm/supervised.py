@@ -10,37 +10,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from pixelloom.llm.support import id_bucket, small_batches
 from pixelloom.llm.text_arrays import bounded_batches
 
-#: At most so many labelled documents of at most so many characters are learned from.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 50_000
+#: About so many labelled documents are learned from. Longer ones are left to scoring: this bounds what the driver holds
+#: to 200 MB of text, whatever the corpus.
+SAMPLE_ROWS, SAMPLE_CHARS, LEAST_A_MARK = 4000, 50_000, 8
 _FINE = 1 << 30
 
 
+def _bounded_texts(docs: DataFrame, ids: DataFrame, chars: int) -> DataFrame:
+    """(doc_id, text, *ids) of a bounded number of ids, one text for each id however often it repeats."""
+    found = docs.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    met = found.join(F.broadcast(ids), F.col("i") == F.col("doc_id")).drop("i")
+    return met.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs: DataFrame, marks: DataFrame, keep: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, per: str | None = None, seed: int = 3) -> pd.DataFrame:
-    """(text, mark) of a seeded sample. marks: (doc_id, mark); keep: which ids may be learned from.
+    """(doc_id, text, mark) of a seeded sample, in random order. marks: (doc_id, mark); keep: which ids may be learned from.
 
-    per: a column of few values of ``marks`` that share the rows evenly, for at most 64 values. The ids are chosen first,
-    a bounded number, and broadcast to the documents. Repeated label rows of an id count once, with the greatest mark."""
+    per: a column of ``marks`` whose values share the rows evenly; every value gets at least ``LEAST_A_MARK`` of its rows, so
+    the sample is bounded by ``rows`` plus that for each value, and no value is left out. The ids are chosen first, a bounded
+    number, and broadcast to the documents. Repeated label rows of an id count once, with the greatest mark."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_FINE))
-    marks = marks.where(F.col("doc_id").isNotNull() & F.col("mark").isNotNull() & keep).groupBy("doc_id").agg(F.max("mark").alias("mark"))
-    counts = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "mark").limit(64).collect()
-    if not counts:
-        return pd.DataFrame({"text": pd.Series(dtype=str), "mark": pd.Series(dtype=object)})
-    share = rows / len(counts) if per else None
-    total = sum(c["n"] for c in counts)
-    limit = F.lit(0)
-    for c in counts:
-        fraction = min(1.0, (share / c["n"]) if per else rows / total)
-        limit = F.when(F.col("mark") == F.lit(c["mark"]), F.lit(int(fraction * _FINE))).otherwise(limit)
-    chosen = marks.withColumn("draw", draw).where(F.col("draw") < limit).select("doc_id", "mark", "draw").limit(2 * rows + 64)
-    ids = docs.sparkSession.createDataFrame(chosen.collect(), T.StructType([*chosen.schema.fields]))
-    found = docs.select(F.col("doc_id").alias("i"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
-    got = found.join(F.broadcast(ids), F.col("i") == F.col("doc_id")).select("doc_id", "text", "mark", "draw").toPandas()
-    got = got.sort_values(["draw", "doc_id", "text"]).drop_duplicates("doc_id")
-    return got[["text", "mark"]].reset_index(drop=True)
+    marks = marks.where(F.col("doc_id").isNotNull() & F.col("mark").isNotNull() & keep).groupBy("doc_id").agg(F.max("mark").alias("mark")).withColumn("draw", draw)
+    counts = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n"))
+    if per:
+        share = F.greatest(F.lit(LEAST_A_MARK), F.lit(float(rows)) / F.count(F.lit(1)).over(W.partitionBy()))
+    else:
+        share = F.lit(float(rows)) * F.col("n") / F.sum("n").over(W.partitionBy())
+    limits = counts.select(F.col("mark").alias("of"), (F.least(F.lit(1.0), share / F.col("n")) * _FINE).cast("long").alias("limit"))
+    chosen = marks.join(F.broadcast(limits), F.col("mark") == F.col("of")).where(F.col("draw") < F.col("limit")).select("doc_id", "mark", "draw")
+    got = _bounded_texts(docs, _known(chosen), chars).toPandas()
+    got = got.sort_values(["draw", "doc_id"])
+    return got[["doc_id", "text", "mark"]].reset_index(drop=True)
+
+
+def _known(rows: DataFrame) -> DataFrame:
+    """Rows of a bounded number, fetched and sent again, so that they are chosen once."""
+    return rows.sparkSession.createDataFrame(rows.collect(), T.StructType([*rows.schema.fields]))
+
+
+def unlabelled_sample(docs: DataFrame, without: list[int], keep: Column, rows: int, chars: int = SAMPLE_CHARS, seed: int = 4) -> list[str]:
+    """About ``rows`` texts, a seeded sample of the ids that may be learned from, none of those in ``without``, in random order."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(_FINE))
+    ids = docs.where(F.col("doc_id").isNotNull() & keep).select("doc_id").distinct().withColumn("draw", draw)
+    total = ids.count()
+    if not total:
+        return []
+    limit = int(min(1.0, (rows + len(without)) / total) * _FINE)
+    known = set(without)
+    chosen = [r for r in ids.where(F.col("draw") < limit).collect() if r["doc_id"] not in known][:rows]
+    if not chosen:
+        return []
+    got = _bounded_texts(docs, docs.sparkSession.createDataFrame(chosen, ids.schema), chars).toPandas()
+    return got.sort_values(["draw", "doc_id"])["text"].tolist()
 
 
 def scored(docs: DataFrame, held_out: Column, scorer: Callable[[], Callable[[pa.Array], list[pa.Array]]], outputs: T.StructType) -> DataFrame:

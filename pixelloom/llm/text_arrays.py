@@ -17,7 +17,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_KEYS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 #: White space of the word rule: space and U+0009 to U+000D.
-_IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+IS_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -86,7 +86,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
     """All words, maximal runs without white space; no word spans two texts."""
     n = len(raw)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_IS_SPACE[raw]
+    inside[1:-1] = ~IS_SPACE[raw]
     first = inside[1:] & ~inside[:-1]
     last = inside[:-1] & ~inside[1:]
     cuts = offsets[1:-1]

@@ -34,3 +34,10 @@ def test_operator(spark):
     digests = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe_digests(df, PATH).collect()}
     assert (2, 0, hashlib.sha256(b"").hexdigest()) in digests and (1, 2, hashlib.sha256(b"the cat").hexdigest()) in digests
     assert bpe_digests(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_are_not_remembered():
+    ours = ForcedBoundaryBPE(PATH)
+    ours.encode("short " + "QWxhZGRpbjpvcGVu" * 50)
+    assert max(map(len, ours.of_word)) <= 64 and "short" in ours.of_word
+    assert max(map(len, ours.fragments), default=0) <= 64

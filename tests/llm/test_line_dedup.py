@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+from pixelloom.llm import support
 from pixelloom.llm.line_dedup import line_dedup
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -36,3 +37,13 @@ def test_matches_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup(df).collect() == []
+
+
+def test_hot_lines_are_spread(spark, monkeypatch):
+    """The same result where every common line counts as hot."""
+    texts = ["hot\nwarm\nline %d\nhot" % i if i % 2 else "hot\nown %d" % i for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, line_dedup(df).collect()))
+    assert [r[1:] for r in want] == brute(texts, 10)
+    monkeypatch.setattr(support, "LEAST_SHARE", 1)
+    assert sorted(map(tuple, line_dedup(df).collect())) == want

@@ -89,3 +89,32 @@ def test_empty(spark):
     assert mix_report(df).collect() == [] and mixed(df).collect() == []
     df = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mix_report(df).collect()] == [(0, 0.0, 0)]
+
+
+def test_clashing_names(spark):
+    names = ["_i", "_t", "_times", "_rows", "_rank", "_copy", "i", "t", "of", "total", "among", "rank", "copy", "text_hash", "own_source"]
+    data = [(n, "w " * (n % 5 + 1), "ab"[n % 2], *range(n, n + len(names))) for n in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    got = mixed(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(data)
+
+
+def test_equal_rows_of_two_sources_are_told_apart(spark):
+    rows = [(1, "x y z", "a")] + [(1, "x y z", "b")] * 3 + [(i, "w", "b") for i in range(2, 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter((r.doc_id, r.source) for r in mixed(df).collect())
+    for r in mix_report(df).collect():
+        want[r.doc_id, r.source] += r.taken // r.size
+    assert got == +want
+
+
+def test_memory_is_bounded_by_the_programme():
+    """All lengths even and the budget odd: no sum hits it, and a length of four million words changes nothing."""
+    import tracemalloc
+
+    lengths, counts = np.array([*range(2, 802, 2), 4_000_000]), np.full(401, 5)
+    tracemalloc.start()
+    taken = fit_budget(lengths, counts, 12_400_001, programme=1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(int((lengths * taken).sum()) - 12_400_001) == 1 and peak < 8 << 20
