@@ -3,8 +3,8 @@
 1. Shingles are runs of five words. A shingle's weight is its count in the text times a damped inverse document
    frequency, 1 + ``DAMPING`` x min(1, log(N / df) / log(1 / ``FREQUENT``)): from 1, for a shingle of every document, up
    to 1 + ``DAMPING``, for those of a share below ``FREQUENT`` of all. Without damping a large group of near copies would
-   devalue the very shingles that its members share. Document frequencies are exact: sums over hash cells tell which
-   cells can hold a frequent shingle, and in these each shingle's documents are counted. Frequent shingles are at most
+   devalue the very shingles that its members share. Document frequencies are exact: counts within chunks of the
+   corpus leave a bounded number of candidates, which are counted over all documents. Frequent shingles are at most
    1 / ``FREQUENT`` times a document's mean number of shingles, however many documents there are, so their table can be
    sent to every task.
 2. Improved consistent weighted sampling: for each of K samples a shingle draws r, c ~ Gamma(2, 1) and
@@ -20,10 +20,11 @@
    led, ``REFINEMENTS`` rounds at most. A bucket of n texts costs n x LEADERS comparisons a round.
 5. The rounds only save work; what they leave is settled exactly. Bucket mates of which neither led are
    known to be in one class or are left over. Those left over are joined on the shingles that a pair of
-   ``SIMILARITY`` must share: with shingles in one order, the rarest first, the first common one of a pair comes
-   before so much weight of either text as the pair must have in common, t / (1 + t) of both weights. Texts are
-   compared if they meet at such a shingle and aren't in one class yet. That is without loss; n texts cost
-   n squared comparisons only if they share their rare shingles too and still aren't alike.
+   ``SIMILARITY`` t must share: with shingles in one order, the rarest first, the first common one of a pair comes
+   where at least t of either text's weight is left, and t / (1 + t) of both weights. Texts are compared if they
+   meet at such a shingle and aren't in one class yet. That is without loss; n texts cost n squared comparisons
+   only if they share their rare shingles too and still aren't alike. Members of a shingle's main class meet only
+   the texts outside of it there.
 6. Similar pairs are links; classes are the connected components of links and equal texts, found by
    passing on the least label along links, with checkpoints.
 
@@ -57,8 +58,8 @@ WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
 LEADERS, REFINEMENTS, BLOCK = 4, 3, 500
 DF_CELLS, FREQUENT, DAMPING, LEVELS = 1 << 19, 0.01, 0.25, 8
-#: Classes of weight for the exact join: each reaches up to so many times its least weight.
-WEIGHT_STEP = 1.05
+#: Shingles that are counted together in a worker, 32 MB.
+CHUNK = 4_000_000
 _VARIATES = 1 << 16
 
 
@@ -68,26 +69,31 @@ def document_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
     return counted(*shingles_of(words_of(raw, offsets), len(texts), width))
 
 
-def cell_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """For each hash cell, the sum of its shingles' document frequencies; at the end, the number of documents."""
+def _locally_frequent(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """(element, n, docs) of the shingles that are in at least half of ``FREQUENT`` of some chunk's documents, in how many
+    of such chunks' documents they are; the row without an element has the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(DF_CELLS + 1, dtype=np.int64), 0
+        held: list[np.ndarray] = []
+        size = rows = total = 0
+
+        def frequent() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= FREQUENT / 2 * rows
+            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["element", "n"])
+
         for batch in bounded_batches(batches, text):
-            doc, element, _ = document_shingles(batch.column(text), width)
-            cells = (element & np.uint64(DF_CELLS - 1)).astype(np.int64)
-            sums[:DF_CELLS] += np.bincount(cells, minlength=DF_CELLS)
-            n += batch.num_rows
-        sums[DF_CELLS] = n
-        at = np.flatnonzero(sums)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], names=["cell", "n"])
+            _, element, _ = document_shingles(batch.column(text), width)
+            held.append(element)
+            size, rows, total = size + len(element), rows + batch.num_rows, total + batch.num_rows
+            if size >= CHUNK and (rows >= 4 / FREQUENT or size >= 4 * CHUNK):
+                yield frequent()
+                held, size, rows = [], 0, 0
+        if held:
+            yield frequent()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["element", "n"])
 
-    table = docs.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(DF_CELLS + 1)
-    sums[table["cell"].to_numpy()] = table["n"].to_numpy()
-    return sums
+    return docs.select(text).mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
 
 
 class Frequencies:
@@ -101,13 +107,19 @@ class Frequencies:
         self.cells = np.zeros(DF_CELLS, dtype=bool)
         self.cells[(elements & np.uint64(DF_CELLS - 1)).astype(np.int64)] = True
 
+    def places(self, element: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the shingles are in the table, and where."""
+        maybe = np.flatnonzero(self.cells[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.elements, element[maybe]), len(self.elements) - 1)
+        found = self.elements[at] == element[maybe]
+        return maybe[found], at[found]
+
     def level(self, element: np.ndarray) -> np.ndarray:
         out = np.full(len(element), LEVELS - 1, dtype=np.uint8)
-        maybe = np.flatnonzero(self.cells[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.elements, element[maybe]), len(self.elements) - 1)
-            found = self.elements[at] == element[maybe]
-            out[maybe[found]] = self.levels[at[found]]
+        which, at = self.places(element)
+        out[which] = self.levels[at]
         return out
 
     def weight(self, element: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -115,23 +127,32 @@ class Frequencies:
 
 
 def frequencies(docs: DataFrame, text: str, width: int) -> Frequencies:
-    """The document frequencies of all frequent shingles, counted exactly over all documents."""
-    sums = cell_counts(docs, text, width)
-    total = float(sums[-1])
-    least = max(2.0, FREQUENT * total)
-    possible = docs.sparkSession.sparkContext.broadcast(sums[:-1] >= least)
+    """The document frequencies of all frequent shingles, counted exactly over all documents.
+
+    A shingle of a share ``FREQUENT`` of all documents is in at least half of that share of all if only the chunks are
+    counted in which it is in half of that share of the chunk's documents. So these counts leave a bounded number of
+    candidates, and no frequent shingle out; candidates are counted once more, exactly."""
+    local = cut(_locally_frequent(docs, text, width))
+    total = float(local.where("element is null").agg(F.sum("n")).first()[0] or 0)
+    candidates = local.where(F.col("element").isNotNull() & (F.col("n") >= F.lit(FREQUENT / 2 * total))).select("element").toPandas()
+    known = np.sort(candidates["element"].to_numpy(np.int64).view(np.uint64))
+    if not len(known):
+        return Frequencies(total, known, np.empty(0))
+    shared = docs.sparkSession.sparkContext.broadcast(Frequencies(total, known, np.ones(len(known))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(known), dtype=np.int64)
         for batch in bounded_batches(batches, text):
             _, element, _ = document_shingles(batch.column(text), width)
-            found, n = np.unique(element[possible.value[(element & np.uint64(DF_CELLS - 1)).astype(np.int64)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["element", "n"])
+            counts += np.bincount(shared.value.places(element)[1], minlength=len(counts))
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[part])], names=["at", "n"])
 
-    if not possible.value.any():
-        return Frequencies(total, np.empty(0, np.uint64), np.empty(0))
-    counts = docs.select(text).mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    table = counts.where(F.col("n") >= least).toPandas()
-    return Frequencies(total, table["element"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.float64))
+    counts = docs.select(text).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    table = counts.where(F.col("n") >= max(2.0, FREQUENT * total)).toPandas()
+    return Frequencies(total, known[table["at"].to_numpy(np.int64)], table["n"].to_numpy(np.float64))
 
 
 def _idf(level: np.ndarray) -> np.ndarray:
@@ -264,17 +285,44 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
     return both.mapInArrow(run, "a long, b long, a_led boolean, b_led boolean, similarity double")
 
 
+def _mixed_cells(rest: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each hash cell of shingles, in how many texts (node, label, text) its shingles are, and whether these have several labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(DF_CELLS, dtype=np.int64)
+        least, most = np.full(DF_CELLS, _LAST, dtype=np.int64), np.full(DF_CELLS, -_LAST, dtype=np.int64)
+        for batch in bounded_batches(batches, "text"):
+            doc, element, _ = document_shingles(batch.column("text"), width)
+            label = batch.column("label").to_numpy(zero_copy_only=False)[doc]
+            cell = (element & np.uint64(DF_CELLS - 1)).astype(np.int64)
+            n += np.bincount(cell, minlength=DF_CELLS)
+            np.minimum.at(least, cell, label)
+            np.maximum.at(most, cell, label)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x[part]) for x in (n, least, most))], names=["cell", "n", "least", "most"])
+
+    rows = rest.mapInArrow(run, "cell int, n long, least long, most long").groupBy("cell")
+    table = rows.agg(F.sum("n").alias("n"), (F.min("least") < F.max("most")).alias("mixed")).toPandas()
+    often, mixed = np.zeros(DF_CELLS, dtype=np.int64), np.zeros(DF_CELLS, dtype=bool)
+    often[table["cell"].to_numpy()] = table["n"].to_numpy()
+    mixed[table["cell"].to_numpy()] = table["mixed"].to_numpy()
+    return often, mixed
+
+
+_LAST = np.iinfo(np.int64).max
+
+
 def _required(rest: DataFrame, levels, width: int, similarity: float) -> DataFrame:
-    """(key, node, label, weight, left, low, high) for texts (node, label, text): the shingles at which a text can first meet
-    a similar one, for each class of the other's weight. left: the weight from this shingle on; low, high: whether the
-    text's class is the lower or the higher of the two, both if they are equal."""
-    counts = rest.sparkSession.sparkContext.broadcast(cell_counts(rest, "text", width)[:-1].astype(np.int64))
-    share, step, slack = similarity / (1.0 + similarity), np.log(WEIGHT_STEP), 1e-9
-    reach = int(np.ceil(-np.log(similarity) / step)) + 1
-    names = ["key", "node", "label", "weight", "left", "low", "high"]
+    """(key, node, label, weight, left) for texts (node, label, text): the shingles at which a text can first meet a similar
+    one of another label. left: the weight from this shingle on."""
+    cells = rest.sparkSession.sparkContext.broadcast(_mixed_cells(rest, width))
+    slack = 1e-9
+    names = ["key", "node", "label", "weight", "left"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = levels.value, counts.value
+        table, (often, mixed) = levels.value, cells.value
         for batch in bounded_batches(batches, "text"):
             doc, element, count = document_shingles(batch.column("text"), width)
             if not len(doc):
@@ -282,28 +330,20 @@ def _required(rest: DataFrame, levels, width: int, similarity: float) -> DataFra
             node, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
             cell = (element & np.uint64(DF_CELLS - 1)).astype(np.int64)
             weight = table.weight(element, count)
-            order = np.lexsort((element, seen[cell], doc))
-            doc, element, weight, often = doc[order], element[order], weight[order], seen[cell][order]
+            order = np.lexsort((element, often[cell], doc))
+            doc, element, weight, cell = doc[order], element[order], weight[order], cell[order]
             whole = np.bincount(doc, weight, minlength=batch.num_rows)
             _, begins = segments(doc)
             before = np.cumsum(weight) - weight
             left = whole[doc] - (before - np.repeat(before[begins], np.diff(np.append(begins, len(doc)))))
-            own = np.floor(np.log(np.maximum(whole, 1e-12)) / step).astype(np.int64)
-            for k in range(-reach, reach + 1):
-                # The least weight of a similar text of this class, and what it must have in common with this one.
-                least = np.maximum(np.exp((own + k) * step), similarity * whole) * (1 - slack)
-                possible = (least <= whole / similarity * (1 + slack)) & (np.exp((own + k + 1) * step) >= similarity * whole * (1 - slack))
-                # A shingle that is alone in its cell is in no other text.
-                at = np.flatnonzero(possible[doc] & (often > 1) & (left >= share * (whole + least)[doc] * (1 - slack)))
-                for i in range(0, len(at), 100_000):
-                    t = at[i : i + 100_000]
-                    d = doc[t]
-                    classes = np.minimum(own, own + k)[d].astype(np.uint64) * np.uint64(64) + np.uint64(abs(k))
-                    key = mix(element[t] * np.uint64(0x9E3779B97F4A7C15) + mix(classes)).view(np.int64)
-                    columns = [key, node[d], label[d], whole[d], left[t], np.full(len(t), k >= 0), np.full(len(t), k <= 0)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return rest.mapInArrow(run, "key long, node long, label long, weight double, left double, low boolean, high boolean")
+            # A similar text weighs at least ``similarity`` times as much, so they have that share of this one in common.
+            at = np.flatnonzero(mixed[cell] & (left >= similarity * whole[doc] * (1 - slack)))
+            for i in range(0, len(at), 100_000):
+                t = at[i : i + 100_000]
+                columns = [element[t].view(np.int64), node[doc[t]], label[doc[t]], whole[doc[t]], left[t]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return rest.mapInArrow(run, "key long, node long, label long, weight double, left double")
 
 
 def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: DataFrame, levels, width: int, similarity: float) -> DataFrame:
@@ -316,18 +356,18 @@ def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: Dat
     rest = spread_join(mates, mixed, "bucket").select("node", "label").distinct()
     rest = stored(rest.join(texts, "node"), "left-over")
     places = stored(_required(rest, levels, width, similarity), "places")
-    meet = places.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("key", "n")
-    # The places of a shingle meet in blocks, every block of one side with every block of the other.
-    places = cut(spread_join(places, meet, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    places = places.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    of = lambda side, columns: [F.col(c).alias(f"{c}_{side}") for c in columns]
-    x = places.where("low").select(*of("x", ("key", "own", "other", "node", "label", "weight", "left", "high")))
-    y = places.where("high").select(*of("y", ("key", "own", "other", "node", "label", "weight", "left")))
+    # Of two texts of different labels one hasn't the label that most texts at the shingle have: those meet all others there.
+    of_label = places.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    meet = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    meet = meet.select("key", "n", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"))
+    # The fewer texts are dealt into blocks, each of which meets all: no task gets a whole hot shingle.
+    places = cut(spread_join(places, meet, "key"))
+    of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("key", "node", "label", "weight", "left")]
+    x = places.where("label <> main").select(*of("x"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block_x"))
+    y = places.select(*of("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_y"))
     common = F.lit(similarity / (1.0 + similarity) * (1 - 1e-9)) * (F.col("weight_x") + F.col("weight_y"))
     enough = F.least("left_x", "left_y") >= common
-    once = ~F.col("high_x") | (F.col("node_x") < F.col("node_y"))
-    same = (F.col("key_x") == F.col("key_y")) & (F.col("own_x") == F.col("other_y")) & (F.col("other_x") == F.col("own_y"))
-    met = x.join(y, same & (F.col("label_x") != F.col("label_y")) & once & enough)
+    met = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("block_x") == F.col("block_y")) & (F.col("label_x") != F.col("label_y")) & enough)
     no = F.lit(False)
     pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", no.alias("a_led"), no.alias("b_led"))
