@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, mixing, BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. It is written as Parquet and read again
-as the next stage's documents, which also cuts the lineage.
+as the next stage's documents, which also cuts the lineage. What a stage has stored besides is dropped
+as soon as its result is written.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pixelloom.llm.near_dedup import near_dedup
 from pixelloom.llm.quality_rules import quality_rules
 from pixelloom.llm.queries import TOKENIZER
 from pixelloom.llm.support import documents
-from pixelloom.session import stored, table
+from pixelloom.session import release, stored, stored_so_far, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,9 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, since = documents(spark, sf_dir), stored_so_far()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            release(spark, since)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,9 +56,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that ``stored`` has written, oldest first.
+_tables: list[str] = []
+
+
+def stored_so_far() -> int:
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Drop all stored tables after the first ``since`` but the newest, which what follows reads, and let go of the shuffle
+    files that nothing refers to any longer. For jobs of several stages, each of which ends in a stored table."""
+    for path in _tables[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _tables[since:-1] = []
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
