@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pixelloom.llm.support import SPACE_CLASS, bind, fresh, once, word_array
-from pixelloom.session import cut, stored
+from pixelloom.session import cut
 
 WINDOW = 5
 ALPHA, DELTA = 0.02, 0.05
@@ -214,9 +214,12 @@ def _judged(rows: DataFrame, marked: DataFrame, stratum: str, alpha: float, delt
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Adds counts, figures and ``kept`` to every row; the rest of the row stays. Figures are made once and stored with the rows."""
-    rows = stored(measured(docs.drop("kept"), text), "measured")
-    return _judged(rows, cut(_marked(rows, labels, stratum)), stratum, alpha, delta)
+    """Adds counts, figures and ``kept`` to every row; the rest of the row stays. The figures of labelled rows are made first,
+    so that the rows are neither stored with their texts nor shuffled."""
+    labelled = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("of")).distinct()
+    learned = docs.select("doc_id", text, stratum)
+    learned = measured(learned.join(labelled, learned["doc_id"] == labelled["of"], "left_semi"), text)
+    return _judged(measured(docs.drop("kept"), text), cut(_marked(learned, labels, stratum)), stratum, alpha, delta)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
