@@ -57,9 +57,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.append(path)
+    _let_go(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Free the shuffle files that nothing refers to any longer, now rather than when the driver's memory is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Tables that ``stored`` has written, oldest first.
 _tables: list[str] = []
 
@@ -75,8 +82,7 @@ def release(spark: SparkSession, since: int) -> None:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _tables[since:-1] = []
-    gc.collect()
-    spark._jvm.System.gc()
+    _let_go(spark)
 
 
 _shipped: set[str] = set()
