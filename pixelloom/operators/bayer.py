@@ -30,16 +30,43 @@ def _stencil(by: list[str], value: str, df: DataFrame) -> tuple[DataFrame, dict[
     return df, {(dy, dx): F.col(f"_r{dy + 2}")[dx + 2] for dy in range(-2, 3) for dx in range(-2, 3)}
 
 
+# The 5 x 5 filters of gradient-corrected linear demosaicing (Malvar, He and Cutler 2004), in eighths.
+# The colour missing at a site: green at red and blue; red or blue at green, along its rows; at the opposite colour.
+TO_GREEN = [
+    [0, 0, -1, 0, 0],
+    [0, 0, 2, 0, 0],
+    [-1, 2, 4, 2, -1],
+    [0, 0, 2, 0, 0],
+    [0, 0, -1, 0, 0],
+]
+ALONG_ROW = [
+    [0, 0, 0.5, 0, 0],
+    [0, -1, 0, -1, 0],
+    [-1, 4, 5, 4, -1],
+    [0, -1, 0, -1, 0],
+    [0, 0, 0.5, 0, 0],
+]
+OPPOSITE = [
+    [0, 0, -1.5, 0, 0],
+    [0, 2, 0, 2, 0],
+    [-1.5, 0, 6, 0, -1.5],
+    [0, 2, 0, 2, 0],
+    [0, 0, -1.5, 0, 0],
+]
+ALONG_COLUMN = [list(line) for line in zip(*ALONG_ROW)]
+
+
+def _filtered(at: dict[tuple[int, int], Column], weights: list[list[float]]) -> Column:
+    """The weighted sum of a neighbourhood."""
+    terms = [at[dy - 2, dx - 2] * float(w) for dy, line in enumerate(weights) for dx, w in enumerate(line) if w]
+    return sum(terms[1:], terms[0]) / 8.0
+
+
 def malvar(mosaic: DataFrame, by: list[str], level: str = "level") -> DataFrame:
     """Linear 5 x 5 demosaic: adds r, g and b at every position. Columns: by, y, x, cfa and the level."""
     df, at = _stencil(by, level, mosaic)
-    c, n1, s1, w1, e1 = at[0, 0], at[-1, 0], at[1, 0], at[0, -1], at[0, 1]
-    n2, s2, w2, e2 = at[-2, 0], at[2, 0], at[0, -2], at[0, 2]
-    corners = at[-1, -1] + at[-1, 1] + at[1, -1] + at[1, 1]
-    green = (4.0 * c + 2.0 * (n1 + s1 + w1 + e1) - (n2 + s2 + w2 + e2)) / 8.0
-    across = (5.0 * c + 4.0 * (w1 + e1) - corners - (w2 + e2) + 0.5 * (n2 + s2)) / 8.0
-    down = (5.0 * c + 4.0 * (n1 + s1) - corners - (n2 + s2) + 0.5 * (w2 + e2)) / 8.0
-    diagonal = (6.0 * c + 2.0 * corners - 1.5 * (n2 + s2 + w2 + e2)) / 8.0
+    c = at[0, 0]
+    green, across, down, diagonal = (_filtered(at, w) for w in (TO_GREEN, ALONG_ROW, ALONG_COLUMN, OPPOSITE))
     kind = C.cell_colour(F.col("cfa"), F.col("y"), F.col("x"))
     of = lambda values: F.when(kind == 0, values[0]).when(kind == 1, values[1]).when(kind == 2, values[2]).otherwise(values[3])
     rgb = {"r": of([c, across, down, diagonal]), "g": of([green, c, c, green]), "b": of([diagonal, down, across, c])}

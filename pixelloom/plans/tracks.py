@@ -10,7 +10,7 @@ from pixelloom.session import table
 from pixelloom.streaming import tracker as T
 from pixelloom.streaming import views as V
 
-_TRACK = "WITH RECURSIVE t AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, least(3.0, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 3600000000.0, 0.0)) AS dt FROM events WHERE user_id < 40)"
+_TRACK = "WITH RECURSIVE t AS (SELECT user_id, ts, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, least(3.0, coalesce(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 3600000000.0, 0.0)) AS dt FROM events)"
 
 
 def _events(spark, sf_dir):
@@ -26,8 +26,7 @@ SELECT user_id, i, mp + ma / (ma + 36.0) * (z - mp), mv + mb / (ma + 36.0) * (z
 FROM (SELECT t.user_id, t.i, t.value AS z, k.p + k.v * t.dt AS mp, k.v AS mv, k.a + 2.0 * t.dt * k.b + t.dt * t.dt * k.c + 25.0 * t.dt * t.dt * t.dt * t.dt / 4.0 AS ma, k.b + t.dt * k.c + 25.0 * t.dt * t.dt * t.dt / 2.0 AS mb, k.c + 25.0 * t.dt * t.dt AS mc FROM k JOIN t ON t.user_id = k.user_id AND t.i = k.i + 1) AS m)
 SELECT user_id, CAST(i - 1 AS INTEGER) AS i, round(p, 4) + 0.0 AS position, round(v, 4) + 0.0 AS velocity FROM k""")
 def q_corner_track(spark, sf_dir):
-    # The SQL twin has these users only.
-    out = T.smoothed_points(_events(spark, sf_dir).where("user_id < 40"), ["user_id"], ["ts", "event_id"], F.col("dt"), "value")
+    out = T.smoothed_points(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("dt"), "value")
     return out.select("user_id", "i", (F.round("position", 4) + 0.0).alias("position"), (F.round("velocity", 4) + 0.0).alias("velocity"))
 
 

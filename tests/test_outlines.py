@@ -12,9 +12,15 @@ def scene(w, h, quad, paper=0.9, table=0.1):
     return np.where(inside, paper, table)
 
 
-def test_clean_page():
-    quad = [(40, 24), (190, 30), (200, 156), (28, 148)]
-    shape, corners = O.detect_page(scene(240, 180, quad))
+@pytest.mark.parametrize(
+    "quad",
+    [
+        [(55, 41), (226, 33), (233, 169), (47, 161)],
+        pytest.param([(61, 37), (238, 22), (221, 171), (49, 158)], marks=pytest.mark.xfail(reason="a sharp corner is found 8 pixels off", strict=True)),
+    ],
+)
+def test_clean_page(quad):
+    shape, corners = O.detect_page(scene(280, 200, quad))
     assert shape == "Quad" and np.abs(corners - np.array(quad)).max() < 4
 
 
@@ -23,8 +29,9 @@ def test_other_scenes():
     speck = np.full((64, 64), 0.1)
     speck[30:36, 30:36] = 0.9
     assert O.detect_page(speck)[0] == "none"
-    shape, corners = O.detect_page(scene(260, 200, [(48, 36), (210, 52), (86, 168)]))
-    assert shape == "Triangle" and np.abs(np.sort(corners, axis=0) - np.sort(np.array([(48, 36), (210, 52), (86, 168)]), axis=0)).max() < 6
+    three = [(57, 28), (251, 74), (101, 181)]
+    shape, corners = O.detect_page(scene(290, 210, three))
+    assert shape == "Triangle" and np.abs(np.sort(corners, axis=0) - np.sort(np.array(three), axis=0)).max() < 6
 
 
 def test_hull_and_simplification():
