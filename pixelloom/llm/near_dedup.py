@@ -50,9 +50,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.support import fresh, share_of_partition, small_batches, spread_join
+from pixelloom.llm.support import fresh, narrow, share_of_partition, small_batches, spread_join
 from pixelloom.llm.text_arrays import bounded_batches, counted, mix, segments, shingles_of, text_bytes, words_of
-from pixelloom.session import cut, stored
+from pixelloom.session import release, stored, stored_so_far
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 14
@@ -132,7 +132,7 @@ def frequencies(docs: DataFrame, text: str, width: int) -> Frequencies:
     A shingle of a share ``FREQUENT`` of all documents is in at least half of that share of all if only the chunks are
     counted in which it is in half of that share of the chunk's documents. So these counts leave a bounded number of
     candidates, and no frequent shingle out; candidates are counted once more, exactly."""
-    local = cut(_locally_frequent(docs, text, width))
+    local = narrow(_locally_frequent(docs, text, width))
     total = float(local.where("element is null").agg(F.sum("n")).first()[0] or 0)
     candidates = local.where(F.col("element").isNotNull() & (F.col("n") >= F.lit(FREQUENT / 2 * total))).select("element").toPandas()
     known = np.sort(candidates["element"].to_numpy(np.int64).view(np.uint64))
@@ -240,9 +240,9 @@ def _similarities(pairs: DataFrame, texts: DataFrame, levels, width: int) -> Dat
     """Adds the exact weighted Jaccard similarity to pairs (a, b, a_led, b_led) of nodes.
 
     The text of one side, the leader's if there is one, goes to as many places as its pairs fill."""
-    pairs = cut(pairs.withColumn("hub", F.when(F.col("a_led") | ~F.col("b_led"), F.col("a")).otherwise(F.col("b"))))
+    pairs = narrow(pairs.withColumn("hub", F.when(F.col("a_led") | ~F.col("b_led"), F.col("a")).otherwise(F.col("b"))))
     pairs = pairs.withColumn("spoke", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-    of_hub = cut(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
+    of_hub = narrow(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
     share, any_hot = share_of_partition(of_hub, "n")
     of_hub = of_hub.select("hub", F.ceil(F.col("n") / share).cast("int").alias("places"))
     placed = pairs.withColumn("place", F.lit(0))
@@ -350,7 +350,7 @@ def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: Dat
     """Pairs (a, b, a_led, b_led) that the rounds haven't compared, aren't known to be in one class and can be similar:
     without loss among ``unled`` (node, bucket), the texts that don't lead their first buckets."""
     known = components(tested.where(F.col("similarity") >= similarity)).withColumnRenamed("node", "k")
-    labelled = cut(state.select("node").join(known, F.col("node") == F.col("k"), "left").select("node", F.coalesce("label", "node").alias("label")))
+    labelled = narrow(state.select("node").join(known, F.col("node") == F.col("k"), "left").select("node", F.coalesce("label", "node").alias("label")))
     mates = unled.join(labelled, "node")
     mixed = mates.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least <> most").select("bucket", "n")
     rest = spread_join(mates, mixed, "bucket").select("node", "label").distinct()
@@ -361,7 +361,7 @@ def _left_over(state: DataFrame, unled: DataFrame, texts: DataFrame, tested: Dat
     meet = of_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     meet = meet.select("key", "n", F.col("top.label").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"))
     # The fewer texts are dealt into blocks, each of which meets all: no task gets a whole hot shingle.
-    places = cut(spread_join(places, meet, "key"))
+    places = narrow(spread_join(places, meet, "key"))
     of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("key", "node", "label", "weight", "left")]
     x = places.where("label <> main").select(*of("x"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block_x"))
     y = places.select(*of("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block_y"))
@@ -381,7 +381,7 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
     nodes = stored(_buckets(docs, text, levels, width, rows, bands).dropDuplicates(["node"]), "signatures")
     shared = nodes.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     central = spread_join(nodes.select("node", F.explode("keys").alias("bucket")), shared, "bucket").groupBy("node").agg(F.sum("n").alias("central"))
-    state = cut(nodes.join(central, "node").select("node", "keys", "central", "common", F.lit(True).alias("open"), F.lit(False).alias("led")))
+    state = narrow(nodes.join(central, "node").select("node", "keys", "central", "common", F.lit(True).alias("open"), F.lit(False).alias("led")))
     # Of equal texts, one row is fetched.
     ids = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("first"))
     wanted = state.select("node").join(ids, "node").select(F.col("node").alias("w"), "first")
@@ -397,7 +397,7 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         top = F.struct((~F.col("led")).alias("fresh"), "central", "common", "node")
         of_class = [F.max(F.when(F.pmod("node", F.lit(LEADERS)) == c, top))["node"].alias(f"l{c}") for c in range(LEADERS)]
         lead = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open"), *of_class).where("n > 1 and any_open")
-        lead = cut(lead.select("bucket", "n", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders")))
+        lead = narrow(lead.select("bucket", "n", F.array_compact(F.array(*(f"l{c}" for c in range(LEADERS)))).alias("leaders")))
         compared = spread_join(members.where("open").select("node", "bucket"), lead, "bucket").select("node", F.explode("leaders").alias("leader")).where("node <> leader")
         if unled is None:
             unled = stored(spread_join(members, lead.where("n > 2"), "bucket").where(~F.array_contains("leaders", F.col("node"))).select("node", "bucket"), "unled")
@@ -413,7 +413,7 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
         marks = results.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("a_led").alias("did"), alike.alias("linked")), F.struct(F.col("b").alias("k"), F.col("b_led").alias("did"), alike.alias("linked")))).alias("m"))
         marks = marks.groupBy("m.k").agg(F.max("m.did").alias("did"), F.max("m.linked").alias("linked"))
         state = state.join(marks, F.col("node") == F.col("k"), "left")
-        state = cut(state.select("node", "keys", "central", "common", (F.col("open") & ~F.coalesce("linked", F.lit(False))).alias("open"), (F.col("led") | F.coalesce("did", F.lit(False))).alias("led")))
+        state = narrow(state.select("node", "keys", "central", "common", (F.col("open") & ~F.coalesce("linked", F.lit(False))).alias("open"), (F.col("led") | F.coalesce("did", F.lit(False))).alias("led")))
     pairs = _left_over(state, unled, texts, tested, levels, width, similarity)
     tested = tested.unionByName(stored(_similarities(pairs, texts, levels, width), "similarities"))
     return tested.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
@@ -421,18 +421,20 @@ def links(docs: DataFrame, text: str = "text", width: int = WIDTH, similarity: f
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component, by passing on least labels and jumping to their labels."""
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
+    both = narrow(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
+    spark, since = edges.sparkSession, stored_so_far()
     # n: how many links ask for the label of a node.
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "near").alias("label"), "n"))
+    labels = narrow(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near"), F.count(F.lit(1)).alias("n")).select("node", F.least("node", "near").alias("label"), "n"))
     while True:
         offered = spread_join(both, labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "label", F.lit(0).cast("long").alias("n"))
-        near = cut(labels.union(offered).groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n")))
+        near = narrow(labels.union(offered).groupBy("node").agg(F.min("label").alias("label"), F.max("n").alias("n")))
         asked = near.groupBy(F.col("label").alias("at")).agg(F.count(F.lit(1)).alias("asked"))
         jump = asked.join(near, F.col("at") == F.col("node")).select(F.col("at").alias("label"), F.col("label").alias("further"), F.col("asked"))
-        new = cut(spread_join(near, jump, "label", "asked").select("node", F.col("further").alias("label"), "n"))
+        new = narrow(spread_join(near, jump, "label", "asked").select("node", F.col("further").alias("label"), "n"))
         changed = new.join(labels.select(F.col("node").alias("o"), F.col("label").alias("old")), F.col("node") == F.col("o")).where("label <> old")
         if changed.isEmpty():
             return new.select("node", "label")
+        release(spark, since)
         labels = new
 
 
@@ -440,9 +442,9 @@ def classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """(node, class_node, class_id, least, copies) of every distinct text."""
     label = components(links(docs, text, **options))
     nodes = docs.select(_node(text).alias("node"), "doc_id").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    labelled = cut(nodes.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node")).drop("label"))
+    labelled = narrow(nodes.join(label, "node", "left").withColumn("class_node", F.coalesce("label", "node")).drop("label"))
     ids = labelled.groupBy("class_node").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("texts"))
-    return cut(spread_join(labelled, ids, "class_node", "texts").select("node", "class_node", "class_id", "least", "copies"))
+    return narrow(spread_join(labelled, ids, "class_node", "texts").select("node", "class_node", "class_id", "least", "copies"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", **options) -> DataFrame:

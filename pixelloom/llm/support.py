@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.session import cut, ship, table
+from pixelloom.session import ship, stored, table
 
 #: White space of the word rule, for a character class and as the characters themselves.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -24,6 +24,12 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a narrow result by a table: what a shuffle has dealt over many partitions is read again in few,
+    where a checkpoint keeps a file for each of them and every shuffle after it writes as many."""
+    return stored(df, "narrow")
+
+
 def word_array(text: Column) -> Column:
     """Words, maximal runs without white space; null: none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
@@ -81,7 +87,7 @@ def spread_join(rows: DataFrame, found: DataFrame, key: str, n: str = "n") -> Da
 
     What is asked for most often is broadcast, at most twice as many rows as there are partitions, so no task gets the rows
     of a hot key; the rest is joined by a shuffle."""
-    found = cut(found)
+    found = narrow(found)
     share, any_hot = share_of_partition(found, n)
     if not any_hot:
         return rows.join(found, key)
