@@ -191,3 +191,31 @@ def image_to_screen(x: Column, y: Column, scale: Column, ox: Column, oy: Column)
 def fit_scale(image_w: Column, image_h: Column, view_w: Column, view_h: Column) -> Column:
     usable = (image_w > 0) & (image_h > 0) & (view_w > 0) & (view_h > 0)
     return F.when(usable, F.least(view_w / image_w, view_h / image_h)).otherwise(1.0)
+
+
+def view_rect(image_w: Column, image_h: Column, view_w: Column, view_h: Column) -> tuple[Column, Column, Column, Column]:
+    """(x, y, width, height) of an image fitted to a view, centred."""
+    scale = fit_scale(image_w, image_h, view_w, view_h)
+    width, height = image_w * scale, image_h * scale
+    return (view_w - width) / 2.0, (view_h - height) / 2.0, width, height
+
+
+# How far a dot leads the finger, from where a pull is a curve, how near a dot comes to a corner.
+AIM_LEAD, AIM_PULL, AIM_MARGIN, AIM_MARGIN_SHARE = 64.0, 32.0, 12.0, 0.45
+
+
+def aim_on_segment(f: XY, a: XY, b: XY) -> Column:
+    """Where a dot on the segment from a to b goes that leads the finger f to the side with more room, in a struct; null for
+    segments shorter than a pixel. perp: the finger's signed distance from the line, which is also the pull."""
+    full = dist(a, b)
+    length = F.when(full >= 1.0, full)
+    ux, uy = (b[0] - a[0]) / length, (b[1] - a[1]) / length
+    vx, vy = f[0] - a[0], f[1] - a[1]
+    perp = vy * ux - vx * uy
+    margin = F.least(AIM_MARGIN_SHARE * length, F.lit(AIM_MARGIN))
+    at = F.greatest(margin, F.least(length - margin, vx * ux + vy * uy))
+    ahead, behind = length - margin - at, at - margin
+    dot = F.when(ahead >= behind, at + F.least(F.lit(AIM_LEAD), ahead)).otherwise(at - F.least(F.lit(AIM_LEAD), behind))
+    fields = {"ghost_x": a[0] + ux * dot, "ghost_y": a[1] + uy * dot, "t": dot / length, "perp": perp, "pull_x": -uy * perp, "pull_y": ux * perp}
+    fields |= {"curve": F.abs(perp) >= AIM_PULL, "finger": F.hypot(vx - ux * at, vy - uy * at)}
+    return F.when(length.isNotNull(), F.struct(*(c.alias(n) for n, c in fields.items())))

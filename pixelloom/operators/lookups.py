@@ -15,9 +15,9 @@ def block_mean(df: DataFrame, by: list[str], values: list[str], factor: int, wid
 
 
 def downsample_factor(width: int, height: int, largest: int) -> int:
-    """The least power of two that brings both sides to at most ``largest``."""
+    """The least power of two by which whole division brings both sides to at most ``largest``."""
     factor = 1
-    while width / factor > largest or height / factor > largest:
+    while max(width, height) // factor > largest:
         factor *= 2
         if factor > 1024:
             raise ValueError("the image is too large for any factor")
