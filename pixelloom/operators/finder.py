@@ -160,13 +160,23 @@ def candidates(maps: Maps) -> np.ndarray:
     if len(across) < 2 or len(along) < 2:
         return np.empty((0, 4, 2))
     h, v = (np.array([(np.cos(np.radians(t)), np.sin(np.radians(t)), r) for _, _, t, r in lines]) for lines in (across, along))
+    height, width = maps.horizontal.shape
+    return quads_of(h, v, width, height)[0]
+
+
+def quads_of(h: np.ndarray, v: np.ndarray, width: float, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered quads (n, 4, 2) of any two lines (cos, sin, rho) of each family that all meet within a tenth of the frame
+    around it, and their lines (n, 4): two of h, two of v."""
     det = np.outer(h[:, 0], v[:, 1]) - np.outer(h[:, 1], v[:, 0])
     some = np.where(np.abs(det) >= 0.34, det, np.nan)
     met = np.stack([(np.outer(h[:, 2], v[:, 1]) - np.outer(h[:, 1], v[:, 2])) / some, (np.outer(h[:, 0], v[:, 2]) - np.outer(h[:, 2], v[:, 0])) / some], axis=2)
-    (h0, h1), (v0, v1) = (np.array(list(combinations(range(len(x)), 2))).T for x in (h, v))
+    (h0, h1), (v0, v1) = (np.array(list(combinations(range(len(x)), 2)), dtype=np.int64).reshape(-1, 2).T for x in (h, v))
     h0, h1, v0, v1 = np.repeat(h0, len(v0)), np.repeat(h1, len(v0)), np.tile(v0, len(h0)), np.tile(v1, len(h0))
-    quads = np.stack([met[h0, v0], met[h0, v1], met[h1, v0], met[h1, v1]], axis=1)
-    return _ordered(quads[np.isfinite(quads).all(axis=(1, 2))])
+    frame = np.array([width, height])
+    near = ((met >= -0.10 * frame) & (met <= 1.10 * frame)).all(axis=2)
+    whole = np.flatnonzero(near[h0, v0] & near[h0, v1] & near[h1, v0] & near[h1, v1])
+    h0, h1, v0, v1 = h0[whole], h1[whole], v0[whole], v1[whole]
+    return _ordered(np.stack([met[h0, v0], met[h0, v1], met[h1, v0], met[h1, v1]], axis=1)), np.stack([h0, h1, v0, v1], axis=1)
 
 
 def sample(planes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

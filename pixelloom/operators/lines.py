@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pixelloom.functions import geometry as G
+from pixelloom.operators import finder
+from pixelloom.session import ship
 
 #: Families of angles in degrees of the normal: horizontal lines, and vertical ones from either side of 0.
 HORIZONTAL, VERTICAL = range(45, 136), [*range(0, 45), *range(136, 180)]
@@ -29,7 +33,10 @@ def hough_votes(edges: DataFrame, by: list[str], thetas) -> DataFrame:
 
 
 def peaks(votes: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Cells that no other exceeds within one degree and two pixels: each cell offers its votes to its 15 neighbours."""
+    """Cells that no other exceeds within one degree and two pixels: each cell offers its votes to its 15 neighbours.
+
+    Cells of fewer than ``least`` votes neither are peaks nor exceed one, so they offer nothing."""
+    votes = votes.where(F.col("votes") >= least)
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)))
     offered = votes.select(*by, F.explode(around).alias("o"), "theta", "rho", "votes").select(*by, (F.col("theta") + F.col("o.a")).alias("theta"), (F.col("rho") + F.col("o.b")).alias("rho"), "votes", ((F.col("o.a") == 0) & (F.col("o.b") == 0)).alias("own"))
     best = offered.groupBy(*by, "theta", "rho").agg(F.max("votes").alias("most"), F.max(F.when(F.col("own"), F.col("votes"))).alias("votes"))
@@ -42,28 +49,52 @@ def strongest(lines: DataFrame, by: list[str], count: int = 12) -> DataFrame:
     return lines.withColumn("id", F.row_number().over(order)).where(F.col("id") <= count)
 
 
+#: Quads that a task hands over at once.
+_QUADS = 50_000
+
+
 def line_quads(horizontal: DataFrame, vertical: DataFrame, by: list[str], width: float, height: float) -> DataFrame:
-    """Quads of two horizontal and two vertical lines of a group that pass the geometry test: at most 66 x 66 a group."""
-
-    def pairs(lines: DataFrame, n: str) -> DataFrame:
-        each = F.struct("id", "theta", "rho")
-        listed = lines.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("l"))  # at most 12 each
-        pair = F.flatten(F.transform("l", lambda a: F.transform(F.filter("l", lambda b: b["id"] > a["id"]), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-        return listed.select(*by, F.explode(pair).alias(n))
-
-    both = pairs(horizontal, "h").join(pairs(vertical, "v"), by)
-
-    def meet(h: str, v: str) -> Column:
-        (c1, s1), (c2, s2) = _trig(F.col(f"h.{h}.theta")), _trig(F.col(f"v.{v}.theta"))
-        return G.intersect_polar(c1, s1, F.col(f"h.{h}.rho").cast("double"), c2, s2, F.col(f"v.{v}.rho").cast("double"))
-
-    corners = F.array(meet("a", "a"), meet("a", "b"), meet("b", "b"), meet("b", "a"))
-    # A generator keeps the corners from being computed again for every use in the filters.
-    once = lambda c: F.explode(F.array(c))
-    met = both.withColumn("q", once(corners)).where(F.forall("q", lambda p: p.isNotNull()))
-    met = met.withColumn("q", once(G.order_corners(F.col("q"))))
-    points = G.quad_points(F.col("q"))
-    return met.where(G.distinct_corners(points) & G.geometry_ok(points, F.lit(width), F.lit(height))).select(*by, F.col("h.a.id").alias("h1"), F.col("h.b.id").alias("h2"), F.col("v.a.id").alias("v1"), F.col("v.b.id").alias("v2"), "q")
+    """Quads of two horizontal and two vertical lines of a group that pass the geometry test: at most 66 x 66 a group, all
+    at once in NumPy."""
+
+    def listed(lines: DataFrame, n: str) -> DataFrame:
+        c, s = _trig(F.col("theta"))
+        each = F.struct("id", c.alias("c"), s.alias("s"), F.col("rho").cast("double").alias("rho"))
+        return lines.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias(n))  # at most 12 each
+
+    both = listed(horizontal, "h").join(listed(vertical, "v"), by)
+    ship(both.sparkSession)
+
+    def parts(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, c, s, rho = (column.values.field(n).to_numpy() for n in ("id", "c", "s", "rho"))
+        lines = np.stack([c, s, rho], axis=1)
+        return [(ids[a:b], lines[a:b]) for a, b in zip(column.offsets.to_numpy()[:-1], column.offsets.to_numpy()[1:])]
+
+    def handed(keys: pa.RecordBatch, found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows, ids, quads = (np.concatenate(x) for x in zip(*found))
+        points = pa.StructArray.from_arrays([pa.array(quads[:, :, k].ravel()) for k in (0, 1)], ["x", "y"])
+        q = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(rows) + 1, 4, dtype=np.int32)), points)
+        return pa.RecordBatch.from_arrays([*keys.take(pa.array(rows)).columns, *(pa.array(ids[:, k]) for k in range(4)), q], names=[*by, "h1", "h2", "v1", "v2", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found, n = batch.select(by), [], 0
+            for row, ((h_ids, h), (v_ids, v)) in enumerate(zip(parts(batch.column("h")), parts(batch.column("v")))):
+                quads, which = finder.quads_of(h, v, width, height)
+                if not len(quads):
+                    continue
+                good = finder.geometry(quads, width, height)[0]
+                ids = np.column_stack([h_ids[which[good, :2]], v_ids[which[good, 2:]]])
+                found.append((np.full(len(ids), row), ids, quads[good]))
+                n += len(ids)
+                if n >= _QUADS:
+                    yield handed(keys, found)
+                    found, n = [], 0
+            if found:
+                yield handed(keys, found)
+
+    kinds = [f"`{c}` {both.schema[c].dataType.simpleString()}" for c in by]
+    return both.mapInArrow(run, ", ".join([*kinds, "h1 int, h2 int, v1 int, v2 int, q array<struct<x: double, y: double>>"]))
 
 
 def merged(lines: DataFrame, by: list[str], most: int = 200, degrees: int = 5, apart: float = 6.0) -> DataFrame:
