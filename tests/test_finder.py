@@ -81,3 +81,25 @@ def test_pages_of_a_table(spark):
     scored = P.score_pages(df, given, "id").collect()
     assert [r["id"] for r in scored] == [1] and scored[0]["px"] == [44.0, 276.0, 283.0, 38.0]
     assert P.find_pages(df.where("id > 5"), "id").count() == 0
+
+
+def test_search_scores_few_quads_and_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[:48, :60]
+    scored, plausible, real = [], 0, P.scores
+    for k in range(10):
+        quad = np.array([(8, 6), (52, 6), (52, 42), (8, 42)]) + rng.uniform(-5, 5, (4, 2))
+        grid = scene(quad, 0.9, 0.1, 60, 48) * rng.uniform(0.6, 1.0, 3) + rng.normal(0, 0.02 * (k % 3), (48, 60, 3)) - 0.3 * (k == 9)
+        maps = P.edge_maps(grid)
+        quads = P.candidates(maps)
+        every = P._scored(maps, quads)
+        plausible += P.geometry(quads, 60, 48)[0].sum() * (k % 3 == 0)
+        with monkeypatch.context() as m:
+            m.setattr(P, "scores", lambda maps, q, angles: scored.append((k, len(q))) or real(maps, q, angles))
+            found = P.search(grid)
+        if not np.isfinite(every.max(initial=-np.inf)):
+            assert found is None
+            continue
+        assert found[0] == every.max() and (found[1] == quads[every.argmax()]).all()
+    few = sum(n for k, n in scored if k in (0, 3, 6))  # without noise or values below 0
+    assert 0 < few < plausible / 4
