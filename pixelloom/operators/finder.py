@@ -1,7 +1,7 @@
 """Page quads by line voting: edge maps, lines of both families, quads of two pairs, scores of their sides, the best of them.
 
 An image is first brought to a detection grid of a bounded long edge by partial aggregation, so the grouped NumPy search
-holds one bounded grid whatever the size of the image. One shuffle a pass.
+holds one bounded grid whatever the size of the image. One shuffle a pass; one for both if the image is its own grid.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ MARGIN, LEAST_CROP, LARGEST_CROP, LARGEST_SHIFT = 0.15, 32, 0.9, 0.04
 
 HORIZONTAL, VERTICAL = [range(45, 136)], [range(0, 46), range(135, 180)]
 _CHUNK, _FEW = 256, 16
+# Pixels a task of images that are their own grids; images whose sizes or crops may be broadcast.
+_TASK_PIXELS, _FEW_IMAGES = 2_000_000, 10_000
 
 
 @dataclass
@@ -85,7 +87,10 @@ def longest_support(steps: np.ndarray, gap: int) -> int:
     """Hits of the longest run of sorted steps that misses at most ``gap`` in a row."""
     if not len(steps):
         return 0
-    return int(np.bincount(np.cumsum(np.diff(steps, prepend=steps[0]) - 1 > gap)).max())
+    ends = np.flatnonzero(steps[1:] - steps[:-1] - 1 > gap)
+    if not len(ends):
+        return len(steps)
+    return int(max(ends[0] + 1, len(steps) - 1 - ends[-1], (ends[1:] - ends[:-1]).max(initial=0)))
 
 
 def _inliers(xs: np.ndarray, ys: np.ndarray, c: float, s: float, rho: float) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +98,13 @@ def _inliers(xs: np.ndarray, ys: np.ndarray, c: float, s: float, rho: float) ->
     near = np.flatnonzero(np.abs(xs * c + ys * s - rho) <= REACH)
     step, other, k, m = (xs[near], ys[near], c, s) if abs(s) >= abs(c) else (ys[near], xs[near], s, c)
     off = other - np.floor((rho - step * k) / m)
-    near, step, off = near[np.abs(off) <= 1], step[np.abs(off) <= 1], off[np.abs(off) <= 1]
+    close = np.abs(off) <= 1
+    near, step, off = near[close], step[close], off[close]
     order = np.lexsort((off, step))
-    steps, first = np.unique(step[order], return_index=True)
-    return near[order][first], steps
+    step = step[order]
+    first = np.ones(len(step), dtype=bool)
+    first[1:] = step[1:] != step[:-1]
+    return near[order[first]], step[first]
 
 
 def family(mask: np.ndarray, thetas: range) -> list[tuple[int, int, int, float]]:
@@ -112,10 +120,11 @@ def family(mask: np.ndarray, thetas: range) -> list[tuple[int, int, int, float]]
     most = np.max([around[1 + a : 1 + a + votes.shape[0], 2 + b : 2 + b + votes.shape[1]] for a in (-1, 0, 1) for b in (-2, -1, 0, 1, 2)], axis=0)
     at, r = np.nonzero((votes == most) & (votes >= max(8, round(VOTE_SHARE * long_edge))))
     found: list[tuple[int, int, int, float]] = []
+    all_theta, all_rho, merged = np.array(thetas)[at], (r - edge).astype(float), np.zeros(len(at), dtype=bool)
     for i in np.lexsort((r, at, -votes[at, r])):
-        theta, rho, c, s = thetas[at[i]], float(r[i] - edge), cos[at[i]], sin[at[i]]
-        if any(abs(theta - t) <= 5 and abs(rho - p) <= max(6.0, MERGE_SHARE * long_edge) for _, _, t, p in found):
+        if merged[i]:
             continue
+        theta, rho, c, s = thetas[at[i]], float(r[i] - edge), cos[at[i]], sin[at[i]]
         inliers, steps = _inliers(xs, ys, c, s, rho)
         support = longest_support(steps, max(4, round(GAP_SHARE * long_edge)))
         if support < max(8, round(SUPPORT_SHARE * long_edge)):
@@ -123,6 +132,7 @@ def family(mask: np.ndarray, thetas: range) -> list[tuple[int, int, int, float]]
         if len(inliers) >= INLIERS:
             rho = float(c * xs[inliers].mean() + s * ys[inliers].mean())
         found.append((-support, -int(votes[at[i], r[i]]), theta, rho))
+        merged |= (np.abs(all_theta - theta) <= 5) & (np.abs(all_rho - rho) <= max(6.0, MERGE_SHARE * long_edge))
     return sorted(found)[:MOST_LINES]
 
 
@@ -182,13 +192,14 @@ def quads_of(h: np.ndarray, v: np.ndarray, width: float, height: float) -> tuple
 def sample(planes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bilinear values of all planes at (..., 2) points, 0 outside, and what is inside."""
     h, w = planes.shape[:2]
-    inside = (at >= 0).all(axis=-1) & (at[..., 0] <= w - 1) & (at[..., 1] <= h - 1)
+    inside = (at[..., 0] >= 0) & (at[..., 1] >= 0) & (at[..., 0] <= w - 1) & (at[..., 1] <= h - 1)
     x, y = np.where(inside, at[..., 0], 0.0), np.where(inside, at[..., 1], 0.0)
     x0, y0 = x.astype(np.int64), y.astype(np.int64)
     x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
     tx, ty = (x - x0)[..., None], (y - y0)[..., None]
-    top = planes[y0, x0] * (1.0 - tx) + planes[y0, x1] * tx
-    bottom = planes[y1, x0] * (1.0 - tx) + planes[y1, x1] * tx
+    flat, y0, y1 = planes.reshape(h * w, -1), y0 * w, y1 * w
+    top = flat.take(y0 + x0, axis=0) * (1.0 - tx) + flat.take(y0 + x1, axis=0) * tx
+    bottom = flat.take(y1 + x0, axis=0) * (1.0 - tx) + flat.take(y1 + x1, axis=0) * tx
     return (top * (1.0 - ty) + bottom * ty) * inside[..., None], inside
 
 
@@ -234,7 +245,8 @@ def scores(maps: Maps, quads: np.ndarray, angles: np.ndarray) -> np.ndarray:
 
     reach = np.array(PROBES)[:, None] * np.array([-1.0, 1.0])
     seen, inside = sample(maps.planes[:, :, :4], edge[:, :, None, None] + reach[None, None, :, :, None, None] * normal[:, :, None, None, None])
-    tone, high, low = seen[..., 0], seen[..., 1:].max(axis=-1), seen[..., 1:].min(axis=-1)
+    tone, r, g, b = (seen[..., i] for i in range(4))
+    high, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
     chroma = np.where(high > 1e-4, (high - low) / np.maximum(high, 1e-4), 0.0)
     n = inside.sum(axis=-1)  # quad, side, probe, inward or outward
     luma, colour = _mean(tone.sum(axis=-1), n), _mean((chroma * inside).sum(axis=-1), n)
@@ -278,8 +290,11 @@ def _bounds(maps: Maps, quads: np.ndarray, angles: np.ndarray) -> np.ndarray:
     low, high = maps.planes[:, :, 1:4].min(axis=2), maps.planes[:, :, 1:4].max(axis=2)
     tone, chroma = maps.planes[:, :, 0], np.where(high > 0, (high - low) / np.where(high > 0, high, 1.0), 0.0)
     step = tone.max() - tone.min() + chroma.max()
-    ends, of = np.unique(np.concatenate([quads, np.roll(quads, -1, axis=1)], axis=2).reshape(-1, 4), axis=0, return_inverse=True)
-    start, side = ends[:, None, :2], ends[:, None, 2:] - ends[:, None, :2]
+    corners, at = np.unique(quads[..., 0] + 1j * quads[..., 1], return_inverse=True)
+    at = at.reshape(-1, 4)
+    ends, of = np.unique(at * len(corners) + np.roll(at, -1, axis=1), return_inverse=True)
+    start, end = (np.stack([c.real, c.imag], axis=1)[:, None] for c in (corners[ends // len(corners)], corners[ends % len(corners)]))
+    side = end - start
     on, past = 0.15 + 0.70 * (np.arange(16) + 0.5) / 16.0, 0.05 + 0.045 * np.arange(1, 11)
     mean = lambda t: (lambda seen, inside: _mean(seen[..., 0].sum(axis=1), inside.sum(axis=1)))(*sample(maps.planes[:, :, 4:], start + side * t[None, :, None]))
     value = (mean(on) - W_EXTEND * mean(np.concatenate([-past, 1.0 + past]))) / maps.reference
@@ -378,17 +393,94 @@ def _crop(w: Column, h: Column) -> dict[str, Column]:
     return {"x0": lo["px"], "y0": lo["py"], "cw": hi["px"] - lo["px"], "ch": hi["py"] - lo["py"]}
 
 
+def _crop_of(px: np.ndarray, py: np.ndarray, w: int, h: int) -> tuple[int, int, int, int] | None:
+    """``_crop`` as (x0, y0, cw, ch); None if it is too small or almost the whole frame."""
+    lo, size = [], []
+    for p, n in ((px, w), (py, h)):
+        pad = MARGIN * (p.max() - p.min())
+        lo.append(int(max(0, min(n - 1, np.floor(p.min() - pad)))))
+        size.append(int(min(n, max(lo[-1] + 1, np.ceil(p.max() + pad)))) - lo[-1])
+    return (*lo, *size) if min(size) >= LEAST_CROP and size[0] * size[1] <= LARGEST_CROP * w * h else None
+
+
+def own_grid(y: np.ndarray, x: np.ndarray, rgb: np.ndarray) -> np.ndarray:
+    """The detection grid of an image whose cells are its pixels: means of the values of each, without those that are missing."""
+    grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3))
+    n = np.zeros(grid.shape[:2], dtype=np.int64)
+    np.add.at(n, (y, x), 1)
+    if n.max() <= 1:
+        grid[y, x] = rgb
+        return grid
+    held = np.zeros(grid.shape, dtype=np.int64)
+    np.add.at(held, (y, x), ~np.isnan(rgb))
+    np.add.at(grid, (y, x), np.nan_to_num(rgb, nan=0.0, posinf=np.inf, neginf=-np.inf))
+    return np.where(held > 0, grid / np.maximum(held, 1), np.where(n[..., None] > 0, np.nan, 0.0))
+
+
+def search_twice(grid: np.ndarray) -> tuple[float, np.ndarray, bool] | None:
+    """The best quad of an image that is its own detection grid in both passes, its score, and whether it is the finer pass's."""
+    h, w = grid.shape[:2]
+    found = search(grid)
+    if found is None:
+        return None
+    score, at = found[0], found[1] * (w, h) / (w, h)
+    if (crop := _crop_of(at[:, 0], at[:, 1], w, h)) is None:
+        return score, at, False
+    x0, y0, cw, ch = crop
+    fine = search(grid[y0 : y0 + ch, x0 : x0 + cw])
+    if fine is None or fine[0] < score:
+        return score, at, False
+    moved = fine[1] * (cw, ch) / (cw, ch) + (x0, y0)
+    if np.hypot(*(at - moved).T).max() > LARGEST_SHIFT * max(w, h):
+        return score, at, False
+    return fine[0], moved, True
+
+
+def _found_in_own(df: DataFrame, by: str, pixels: int) -> DataFrame:
+    """(by, score, px, py, refined) of images of at most ``COARSE`` pixels a side, both passes in one group and one shuffle."""
+    kind = df.schema[by].dataType.simpleString()
+    ship(df.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        empty = _nothing(rows, by).assign(refined=pd.Series([], dtype=bool))
+        grid = own_grid(rows["y"].to_numpy(), rows["x"].to_numpy(), rows[["r", "g", "b"]].to_numpy(dtype=float))
+        found = search_twice(grid) if min(grid.shape[:2]) >= LEAST_SIDE else None
+        if found is None:
+            return empty
+        score, q, refined = found
+        return pd.DataFrame({by: rows[by].iloc[:1].to_numpy(), "score": [score], "px": [q[:, 0].tolist()], "py": [q[:, 1].tolist()], "refined": [refined]}).astype({by: rows[by].dtype})
+
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels // _TASK_PIXELS))
+    return df.select(by, "y", "x", "r", "g", "b").repartition(parts, by).groupBy(by).applyInPandas(run, f"{by} {kind}, {_RESULT}, refined boolean")
+
+
+def _with_each(df: DataFrame, each: DataFrame, by: str, rows: int) -> DataFrame:
+    """Pixels with the columns of a table of so many rows, one an image. Pixels are never the side that is broadcast: Spark's
+    estimate of their size is that of what they were exploded from."""
+    return df.join(F.broadcast(each) if rows <= _FEW_IMAGES else each.hint("shuffle_hash"), by)
+
+
 def find_pages(df: DataFrame, by: str) -> DataFrame:
     """(by, score, px, py, refined) of the images (by, y, x, r, g, b) in which a page is found.
 
     A second, finer pass over the crop about the first quad wins if its score is no less and no corner moves far."""
-    sized = df.join(image_sizes(df, by), by)
-    coarse = cut(_searched(sized, by, COARSE).join(image_sizes(df, by), by))
+    sizes = df.where(F.col(by).isNotNull()).groupBy(by).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.count("*").alias("n"))
+    sizes = cut(sizes)
+    large = F.greatest("w", "h") > COARSE
+    many, pixels = sizes.agg(F.count_if(large), F.coalesce(F.sum(F.when(~large, F.col("n"))), F.lit(0))).first()
+    own = df.where(F.col(by).isNotNull()) if not many else df.join(sizes.where(~large).select(by), by, "leftsemi")
+    found = _found_in_own(own, by, pixels)
+    return found.unionByName(_found_in_large(df, sizes.where(large).drop("n"), by, many)) if many else found
+
+
+def _found_in_large(df: DataFrame, sizes: DataFrame, by: str, rows: int) -> DataFrame:
+    """The same of the images in a table (by, w, h) of so many rows, with means of cells in each pass."""
+    coarse = cut(_searched(_with_each(df, sizes, by, rows), by, COARSE).join(sizes, by))
     crops = coarse.select(by, *(c.alias(n) for n, c in _crop(F.col("w"), F.col("h")).items()), F.col("w").alias("fw"), F.col("h").alias("fh"))
     small = (F.col("cw") >= LEAST_CROP) & (F.col("ch") >= LEAST_CROP) & (F.col("cw") * F.col("ch") <= LARGEST_CROP * F.col("fw") * F.col("fh"))
     crops = crops.where(small).select(by, "x0", "y0", F.col("cw").alias("w"), F.col("ch").alias("h"))
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("w")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("h"))
-    cropped = df.join(crops, by).where(inside).withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")})
+    cropped = _with_each(df, crops, by, rows).where(inside).withColumns({"x": F.col("x") - F.col("x0"), "y": F.col("y") - F.col("y0")})
     fine = _searched(cropped, by, FINE).join(crops.select(by, "x0", "y0"), by)
     moved = lambda p, o: F.transform(p, lambda v: v + F.col(o))
     fine = fine.select(by, F.col("score").alias("fs"), moved("px", "x0").alias("fx"), moved("py", "y0").alias("fy"))

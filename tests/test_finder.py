@@ -103,3 +103,52 @@ def test_search_scores_few_quads_and_finds_the_same(monkeypatch):
         assert found[0] == every.max() and (found[1] == quads[every.argmax()]).all()
     few = sum(n for k, n in scored if k in (0, 3, 6))  # without noise or values below 0
     assert 0 < few < plausible / 4
+
+
+def _table(spark, images, at):
+    """Pixels of grey images, exploded from a stored row each, as far larger than Spark's estimate as in the queries."""
+    spark.createDataFrame([(k, g.tolist()) for k, g in images.items()], "id long, v array<array<double>>").write.parquet(str(at))
+    rows = spark.read.parquet(str(at)).selectExpr("id", "posexplode(v) AS (y, line)").selectExpr("id", "y", "posexplode(line) AS (x, v)")
+    return rows.selectExpr("id", "y", "x", "v AS r", "v AS g", "v AS b")
+
+
+def _broadcasts(df):
+    """The subtrees of the plan that are broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    found = []
+    for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+        end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+        found.append("\n".join(lines[i:end]))
+    return found
+
+
+@pytest.mark.parametrize("few", [10_000, 0], ids=["few", "many"])
+def test_pixels_are_not_broadcast(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(P, "_FEW_IMAGES", few, raising=False)
+    small = scene([(8, 6), (52, 6), (52, 42), (8, 42)], 0.9, 0.1, 60, 48)[..., 0]
+    for images in ({1: small}, {1: small, 2: scene([(60, 40), (420, 44), (416, 280), (64, 276)], 0.9, 0.1, 500, 320)[..., 0]}):
+        found = P.find_pages(_table(spark, images, tmp_path / str(len(images))), "id")
+        assert not any("Generate" in x for x in _broadcasts(found))
+        assert {r["id"] for r in found.collect()} == set(images)
+
+
+def test_both_passes_in_one_group_as_in_two(spark, tmp_path):
+    images = {1: scene(QUAD, 0.88, 0.25)[..., 0], 2: scene([(90, 70), (200, 66), (206, 160), (84, 164)], 0.9, 0.1)[..., 0], 3: np.full((60, 80), 0.5), 4: np.full((12, 40), 0.5)}
+    images[5] = images[2] + np.random.default_rng(3).normal(0, 0.03, images[2].shape)
+    df = _table(spark, images, tmp_path / "images")
+    sizes = P.image_sizes(df, "id")
+    want = {r["id"]: r for r in P._found_in_large(df, sizes, "id", 5).collect()}
+    got = {r["id"]: r for r in P.find_pages(df, "id").collect()}
+    assert got == want and any(r["refined"] for r in got.values()) and not all(r["refined"] for r in got.values())
+    assert not {3, 4} & set(got)
+
+
+def test_own_grid_takes_means_and_skips_missing():
+    y, x = np.array([0, 0, 1, 1, 1]), np.array([0, 1, 0, 0, 2])
+    v = np.array([0.5, 0.25, 1.0, 3.0, 7.0])
+    rgb = np.stack([v, np.where(v == 3.0, np.nan, v), np.where(v == 7.0, np.nan, v)], axis=1)
+    want = np.array([[[0.5] * 3, [0.25] * 3, [0.0] * 3], [[2.0, 1.0, 2.0], [0.0] * 3, [7.0, 7.0, np.nan]]])
+    np.testing.assert_array_equal(P.own_grid(y, x, rgb), want)
+    once = np.arange(5) != 3
+    np.testing.assert_array_equal(P.own_grid(y[once], x[once], rgb[once])[1], [[1.0] * 3, [0.0] * 3, [7.0, 7.0, np.nan]])
